@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholium.llm.language import assign_languages
 from scholium.llm.leakage import find_leaks
 from scholium.llm.splitting import split_oversized
 from scholium.llm.tokenizing import encode_corpus
@@ -47,5 +48,15 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.groupBy("item_id", "passage").agg(F.count(F.lit(1)).alias("documents"), F.round(F.max("share"), 6).alias("largest_share"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_bisect, p7_ids, p7_round_trip, p8_found, p8_report)}
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = assign_languages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", "source")
+    return rows.withColumn("confidence", F.round("confidence", 4))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = assign_languages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", "source")
+    return rows.where((F.col("segments") > 1) | ~F.col("declared_right")).select("doc_id", "seg_no", "lang")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_bisect, p7_ids, p7_round_trip, p8_found, p8_report, p9_found, p9_segments)}
 SQL = {"p7_round_trip": "SELECT true AS round_trip, count(*) AS texts FROM documents"}
