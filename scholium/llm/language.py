@@ -38,8 +38,8 @@ THREE = {
     "ita": "it", "nld": "nl", "dut": "nl", "rus": "ru", "zho": "zh", "chi": "zh",
 }
 SENTENCE_END = re.compile(r"(?<=[.!?])[\"'”“»)\]]*\s+|(?<=[。！？])\s*|\n[ \t\r]*\n\s*")
-WORD = re.compile(r"[^\W\d_]+")
-NO_WORDS = re.compile(r"https?://\S+|<[^<>\n]{1,80}>|&\w{1,10};|\\\\[a-zA-Z]+")
+WORD = re.compile(r"[^\W\d_\u3040-\u9fff]+|[\u3040-\u9fff]")  # scripts without blanks: each character
+NO_WORDS = re.compile(r"https?://\S+|<[^<>\n]{1,80}>|&\w{1,10};|\\[a-zA-Z]+")
 BINS = 1 << 17
 CLIP = 3.0
 MEMORY = 300_000
