@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,20 +42,34 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     return df.repartition(per_core * cores)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder of the cluster, so the rows survive the loss of an executor.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as spark.checkpoint.dir names it.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where neither it nor a directory of the
-    context is set (local tests) a temporary folder is made and removed at exit.
+    Only where it is unset and the session is local (tests) a temporary folder is made and removed at exit.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    given = sc._jsc.sc().getCheckpointDir()
+    if named or not given.isEmpty():
+        return named or given.get()
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    made = tempfile.mkdtemp(prefix="scholium-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder, so the rows survive the loss of an executor."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not shared:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="scholium-")
-            atexit.register(shutil.rmtree, shared, ignore_errors=True)
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A table written to the shared folder and read again: smaller than a checkpoint for repeating values."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/scholium-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
