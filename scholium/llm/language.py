@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholium.session import spread
+from scholium.session import cut, spread
 
 # fixed values: two-letter codes and the three-letter codes that name the same language
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "ru", "zh")
@@ -175,7 +175,7 @@ def fit(labelled: list[tuple[str, str]], languages: Sequence[str] = LANGUAGES, r
 
 
 def assign_languages(
-    docs: DataFrame, doc: str, text: str, declared: str, host: str, languages: Sequence[str] = LANGUAGES, fit_rows: int = 8000, fit_chars: int = 3000, switch: float = 0.01, weight: float = 50.0, salts: int = 16
+    docs: DataFrame, doc: str, text: str, declared: str, host: str, languages: Sequence[str] = LANGUAGES, fit_rows: int = 8000, fit_chars: int = 3000, switch: float = 0.01, weight: float = 50.0, salts: int = 16, broadcast_hosts: int = 10_000
 ) -> DataFrame:
     """doc_id, seg_no, lang, confidence, start_pos, end_pos, segments, declared_right of every segment."""
     languages = tuple(languages)
@@ -186,15 +186,20 @@ def assign_languages(
     model = fit([(r["text"], r["declared"]) for r in sample.collect()], languages)
 
     counts = [F.count_if(F.col("declared") == x).alias(f"n{i}") for i, x in enumerate(languages)]
-    by_host = rows.groupBy("host").agg(*counts)
-    whole = rows.agg(*counts).first()
+    by_host = cut(rows.groupBy("host").agg(*counts))
+    whole = [x or 0 for x in by_host.agg(*[F.sum(f"n{i}") for i in range(len(languages))]).first()]
     total = sum(whole) or 1
     base = [(c + 1) / (total + len(languages)) for c in whole]
     n_host = sum((F.col(f"n{i}") for i in range(len(languages))), F.lit(0))
     prior = F.array(*[(F.col(f"n{i}") + weight * b) / (n_host + weight) for i, b in enumerate(base)]).alias("prior")
-    # a host may own a third of the documents: its rows are salted, the priors repeated per salt
-    salted = by_host.where(F.col("host").isNotNull()).select("host", prior, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    told = rows.where(F.col("text").isNotNull() & (F.length(F.trim("text")) > 0)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left").select("doc_id", "text", "declared", "prior")
+    known = by_host.where(F.col("host").isNotNull())
+    told = spread(rows.where(F.col("text").isNotNull() & (F.length(F.trim("text")) > 0)))
+    if known.count() <= broadcast_hosts:  # at most 1 MB
+        told = told.join(F.broadcast(known.select("host", prior)), "host", "left")
+    else:  # a host may own a third of the documents: its rows are salted, the priors repeated per salt
+        salted = known.select("host", prior, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        told = told.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
+    told = told.select("doc_id", "text", "declared", "prior")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["doc_id", "seg_no", "lang", "confidence", "start_pos", "end_pos", "segments", "declared_right"]
@@ -206,4 +211,4 @@ def assign_languages(
             yield pd.DataFrame(out, columns=names).astype({"seg_no": "int32", "confidence": "float64", "start_pos": "int32", "end_pos": "int32", "segments": "int32", "declared_right": "bool"})
 
     kind = dict(docs.dtypes)[doc]
-    return spread(told).mapInPandas(run, f"doc_id {kind}, seg_no int, lang string, confidence double, start_pos int, end_pos int, segments int, declared_right boolean")
+    return told.mapInPandas(run, f"doc_id {kind}, seg_no int, lang string, confidence double, start_pos int, end_pos int, segments int, declared_right boolean")

@@ -7,11 +7,25 @@ from pyspark.sql import functions as F
 
 from scholium.llm.language import assign_languages
 from scholium.llm.leakage import find_leaks
+from scholium.llm.neardup import expand, near_duplicates
 from scholium.llm.splitting import split_oversized
 from scholium.llm.tokenizing import encode_corpus
 from scholium.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = expand(*near_duplicates(table(spark, sf_dir, "retrieved_chunks"), "chunk_id", "text"))
+    return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+
+
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per chunk: its class of equal word sets, the class's links and their smallest edit similarity."""
+    members, links = near_duplicates(table(spark, sf_dir, "retrieved_chunks"), "chunk_id", "text", edit=True)
+    ends = links.select(F.explode(F.array("class_a", "class_b")).alias("class_id"), "edit_similarity")
+    of = ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("links"), F.round(F.min("edit_similarity"), 6).alias("least_edit_similarity"))
+    return members.join(of, "class_id", "left").select(F.col("id").alias("chunk_id"), "class_id", F.coalesce("links", F.lit(0)).alias("links"), "least_edit_similarity")
+
+
 def _both(spark: SparkSession, sf_dir: str, plan: str) -> DataFrame:
     parts = [
         split_oversized(table(spark, sf_dir, t), item, "text", plan=plan).select(F.lit(t).alias("source_table"), F.col("item_id").cast("long").alias("item_id"), "piece_no", "start_pos", "end_pos")
@@ -58,5 +72,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where((F.col("segments") > 1) | ~F.col("declared_right")).select("doc_id", "seg_no", "lang")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_bisect, p7_ids, p7_round_trip, p8_found, p8_report, p9_found, p9_segments)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p4_found, p4_bisect, p7_ids, p7_round_trip, p8_found, p8_report, p9_found, p9_segments)}
 SQL = {"p7_round_trip": "SELECT true AS round_trip, count(*) AS texts FROM documents"}
