@@ -10,8 +10,8 @@ Texts with equal word sets form one class, so copies meet in the collection once
 to its candidates, the candidates are checked exactly (share of common words, ``threshold`` or more), and
 the banded alignment of two word sequences gives their edit similarity where it is asked for.
 
-Candidates come from one self-join on the sketch over distinct (class, sketch) rows: copies are gone by
-then, and a bucket of many different texts is split by the adaptive skew join. No bucket is capped.
+Candidates come from distinct (class, sketch) rows: copies are gone by then. Small buckets are paired as
+they stream past, large ones by a join that is split over tasks. No bucket is capped.
 Words are compared by 32-bit hashes, classes by 64-bit ones.
 
 Defined results: rows with a null id or text take no part; repeated rows count once; texts without any
@@ -188,7 +188,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8,
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, count)), pa.array(found.ravel())], names=["class_id", "sketch"])
 
     hits = classes.mapInArrow(draw, "class_id long, sketch long")
-    pairs = hits.select(F.col("class_id").alias("class_a"), "sketch").join(hits.select(F.col("class_id").alias("class_b"), "sketch"), "sketch").where("class_a < class_b").select("class_a", "class_b").distinct()
+    pairs = bucket_pairs(hits)
     distinct = F.array_distinct("seq")
     a = classes.select(F.col("class_id").alias("class_a"), F.col("seq").alias("seq_a"), distinct.alias("set_a"))
     b = classes.select(F.col("class_id").alias("class_b"), F.col("seq").alias("seq_b"), distinct.alias("set_b"))
@@ -205,6 +205,64 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8,
     return members, links.select("class_a", "class_b", "jaccard", "seq_a", "seq_b").mapInArrow(measure, "class_a long, class_b long, jaccard double, edit_similarity double")
 
 
+def bucket_pairs(hits: DataFrame, small: int = 256) -> DataFrame:
+    """Distinct class_a < class_b that share a sketch. hits: class_id, sketch, each combination once.
+
+    One shuffle by sketch brings a bucket together and its rows stream past in order. Buckets of up to
+    ``small`` classes are paired at once; the classes of a larger one are only passed on, and meet in a
+    self-join that the adaptive skew join splits over tasks, so no bucket is held in memory and none is cut.
+    """
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, open_sketch, is_large = [np.empty(0, np.int64)], None, False
+
+        def rows(a: np.ndarray, b: np.ndarray | None, sketch: int | None) -> pa.RecordBatch:
+            null = pa.nulls(len(a), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(a), null if b is None else pa.array(b), null if sketch is None else pa.array(np.full(len(a), sketch))], names=["class_a", "class_b", "sketch"])
+
+        def close() -> list[pa.RecordBatch]:
+            own = np.concatenate(held)
+            if len(own) < 2 and not is_large:
+                return []
+            if is_large or len(own) > small:
+                return [rows(own, None, open_sketch)] if len(own) else []
+            x, y = np.triu_indices(len(own), 1)
+            return [rows(own[x], own[y], None)]
+
+        for batch in batches:
+            ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            edges = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
+            sizes = np.diff(edges)
+            first_ends, last_begins = edges[1], edges[-2]
+            if open_sketch is not None and keys[0] == open_sketch:
+                held.append(ids[:first_ends])
+                if sum(map(len, held)) > small:
+                    yield rows(np.concatenate(held), None, open_sketch)
+                    held, is_large = [], True
+                    held.append(np.empty(0, np.int64))
+                if len(sizes) == 1:
+                    continue
+                skip = 1
+            else:
+                skip = 0
+            yield from close()
+            inner = slice(skip, len(sizes) - 1)  # whole buckets inside this batch
+            begins, n = edges[:-1][inner], sizes[inner]
+            for size in np.unique(n[(n > 1) & (n <= small)]):
+                at = begins[n == size][:, None] + np.arange(size)
+                x, y = np.triu_indices(size, 1)
+                yield rows(ids[at[:, x]].ravel(), ids[at[:, y]].ravel(), None)
+            for begin, size in zip(begins[n > small], n[n > small], strict=True):
+                yield rows(ids[begin : begin + size], None, int(keys[begin]))
+            held, open_sketch, is_large = [ids[last_begins:]], int(keys[-1]), False
+        yield from close()
+
+    found = stored(hits.repartition("sketch").sortWithinPartitions("sketch", "class_id").mapInArrow(pair, "class_a long, class_b long, sketch long"))
+    large = found.where(F.col("sketch").isNotNull())
+    met = large.select("class_a", "sketch").join(large.select(F.col("class_a").alias("class_b"), "sketch"), "sketch").where("class_a < class_b")
+    return found.where(F.col("sketch").isNull()).select("class_a", "class_b").unionByName(met.select("class_a", "class_b")).distinct()
+
+
 def expand(members: DataFrame, links: DataFrame) -> DataFrame:
     """All pairs id_a < id_b of alike rows: pairs inside a class and pairs across linked classes."""
     a = members.select(F.col("id").alias("x"), F.col("class_id").alias("class_a"))
