@@ -7,12 +7,23 @@ from pyspark.sql import functions as F
 
 from scholium.llm.language import assign_languages
 from scholium.llm.leakage import find_leaks
+from scholium.llm.names import entity_pairs, link_names
 from scholium.llm.neardup import expand, near_duplicates
 from scholium.llm.splitting import split_oversized
 from scholium.llm.tokenizing import encode_corpus
 from scholium.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = entity_pairs(link_names(table(spark, sf_dir, "authors"), "author_id", "full_name"))
+    return pairs.select(F.col("id_a").alias("author_id_a"), F.col("id_b").alias("author_id_b"))
+
+
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = link_names(table(spark, sf_dir, "authors"), "author_id", "full_name")
+    return linked.select(F.col("id").alias("author_id"), "entity")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = expand(*near_duplicates(table(spark, sf_dir, "retrieved_chunks"), "chunk_id", "text"))
     return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
@@ -72,5 +83,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where((F.col("segments") > 1) | ~F.col("declared_right")).select("doc_id", "seg_no", "lang")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p4_found, p4_bisect, p7_ids, p7_round_trip, p8_found, p8_report, p9_found, p9_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p3_found, p3_classes, p4_found, p4_bisect, p7_ids, p7_round_trip, p8_found, p8_report, p9_found, p9_segments)}
 SQL = {"p7_round_trip": "SELECT true AS round_trip, count(*) AS texts FROM documents"}
