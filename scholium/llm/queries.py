@@ -9,7 +9,9 @@ from scholium.llm.language import assign_languages
 from scholium.llm.leakage import find_leaks
 from scholium.llm.names import entity_pairs, link_names
 from scholium.llm.neardup import expand, near_duplicates
+from scholium.llm.scannoise import learn_model, prose_rows, repair
 from scholium.llm.splitting import split_oversized
+from scholium.llm.textquality import text_types
 from scholium.llm.tokenizing import encode_corpus
 from scholium.session import table
 
@@ -24,6 +26,31 @@ def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select(F.col("id").alias("author_id"), "entity")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types = text_types(table(spark, sf_dir, "extractions"), "extraction_id", "text")
+    return types.where("text_type <> 'prose'").select(F.col("id").alias("extraction_id"))
+
+
+def p2_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types = text_types(table(spark, sf_dir, "extractions"), "extraction_id", "text")
+    return types.select(F.col("id").alias("extraction_id"), "text_type", *[F.round(c, 4).alias(c) for c in ("p_prose", "p_list", "p_table", "p_junk")])
+
+
+def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extractions = table(spark, sf_dir, "extractions")
+    rows = prose_rows(extractions, "extraction_id", "text", text_types(extractions, "extraction_id", "text"))
+    return repair(rows, learn_model(rows))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = _repaired(spark, sf_dir).select(F.col("id").alias("extraction_id"), F.explode("marks").alias("m"))
+    return marks.select("extraction_id", "m.line_no", "m.kind")
+
+
+def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repaired(spark, sf_dir).select(F.col("id").alias("extraction_id"), "repaired")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = expand(*near_duplicates(table(spark, sf_dir, "retrieved_chunks"), "chunk_id", "text"))
     return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
@@ -83,5 +110,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where((F.col("segments") > 1) | ~F.col("declared_right")).select("doc_id", "seg_no", "lang")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p3_found, p3_classes, p4_found, p4_bisect, p7_ids, p7_round_trip, p8_found, p8_report, p9_found, p9_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_types, p6_found, p6_repaired, p3_found, p3_classes, p4_found, p4_bisect, p7_ids, p7_round_trip, p8_found, p8_report, p9_found, p9_segments)}
 SQL = {"p7_round_trip": "SELECT true AS round_trip, count(*) AS texts FROM documents"}
