@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 
 from scholium.session import spread
 
-WORD = re.compile(r"[^\W_]+")
+# a word, or markup that holds none: tags, entities, commands
+WORD = re.compile(r"</?[a-zA-Z][^<>]{0,80}>|&#?[a-zA-Z0-9]{1,8};|\\[a-zA-Z]+|([^\W_]+)")
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    return [w for w in WORD.findall(text.lower()) if w]
 
 
 class Scanner:
@@ -63,7 +64,7 @@ class Scanner:
         if self.automaton is None:
             return []
         lowered = text.lower()
-        spans = [m.span() for m in WORD.finditer(lowered if len(lowered) == len(text) else text)]
+        spans = [m.span(1) for m in WORD.finditer(lowered if len(lowered) == len(text) else text) if m.group(1)]
         words = [lowered[a:b] if len(lowered) == len(text) else text[a:b].lower() for a, b in spans]
         if not words:
             return []
