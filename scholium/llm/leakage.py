@@ -108,18 +108,29 @@ class Scanner:
         return [(lo, hi) for lo, hi in merged]
 
 
+JUMP = 8
+
+
 def align(a: list[str], b: list[str]) -> tuple[int, int, int]:
-    """Local alignment of words (match 1, mismatch and gap -1): words matched, and the stretch of b it covers."""
+    """Local alignment of words (match 1, mismatch and gap -1): words matched, and the stretch of b it covers.
+
+    Any number of words put between two parts of the passage costs at most ``JUMP``, so a passage that
+    something else interrupts is one stretch, while phrases in common are too short to earn the jump.
+    """
     best = (0, 0, 0, 0)
     n = len(b)
     score, match, start = [0] * (n + 1), [0] * (n + 1), list(range(n + 1))
     for wa in a:
         s0, m0, b0 = score, match, start
         score, match, start = [0] * (n + 1), [0] * (n + 1), list(range(n + 1))
-        left = 0
+        left, far = 0, (0, 0, 0)  # the best end of the passage so far anywhere before
         for y in range(1, n + 1):
+            if s0[y - 1] > far[0]:
+                far = (s0[y - 1], m0[y - 1], b0[y - 1])
             if wa == b[y - 1]:
                 s, m, st = s0[y - 1] + 1, m0[y - 1] + 1, b0[y - 1] if s0[y - 1] > 0 else y - 1
+                if far[0] - JUMP >= s:
+                    s, m, st = far[0] - JUMP + 1, far[1] + 1, far[2]
             else:
                 s, m, st = s0[y - 1] - 1, m0[y - 1], b0[y - 1]
             if s0[y] - 1 > s:
