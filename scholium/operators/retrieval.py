@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholium.functions.text import word_runs
+from scholium.session import by_key, spread
 
 BROADCAST_ROWS = 20_000
 
@@ -33,16 +34,17 @@ def bm25(docs: DataFrame, doc: str, text: str, queries: DataFrame, query: str, q
     document's length comes from its own row, so the text is shuffled nowhere.
     Null or blank documents count for nothing; a term repeated in the query counts as often.
     """
-    words = docs.select(F.col(doc).alias("doc_id"), word_runs(F.col(text)).alias("w")).where(F.size("w") > 0).select("doc_id", "w", F.size("w").alias("dl"))
+    words = spread(docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("t"))).select("doc_id", word_runs(F.col("t")).alias("w")).where(F.size("w") > 0).select("doc_id", "w", F.size("w").alias("dl"))
     corpus = words.agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"))
     terms = queries.select(F.col(query).alias("query_id"), F.explode(word_runs(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     wanted = terms.select("term").distinct()
-    postings = words.select("doc_id", "dl", F.explode("w").alias("term")).join(_small(wanted), "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    hint = F.broadcast if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda df: df  # weights has a row a term at most
+    postings = words.select("doc_id", "dl", F.explode("w").alias("term")).join(hint(wanted), "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = terms.join(df, "term").crossJoin(F.broadcast(corpus))  # one row
     idf = F.ln(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = postings.join(_small(weights), "term").select("query_id", "doc_id", (F.col("qtf") * idf * tf).alias("part"))
+    scored = postings.join(hint(weights), "term").select("query_id", "doc_id", (F.col("qtf") * idf * tf).alias("part"))
     return scored.groupBy("query_id", "doc_id").agg(F.round(F.sum("part") * boost, 6).alias("score"))
 
 
@@ -117,7 +119,7 @@ def drop_alike(ranked: DataFrame, text: str = "text", threshold: float = 0.9, po
     """
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"(?U)\s+"), lambda w: w != ""))
     rows = ranked.where(F.col("rank") <= pool).select("query_id", F.struct("rank", "chunk_id", words.alias("w")).alias("x"))
-    listed = rows.groupBy("query_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    listed = by_key(rows, "query_id").groupBy("query_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     empty = F.filter("xs", lambda x: F.lit(False))
 
     def alike(a: Column, b: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scholium.functions import text as T
 from scholium.operators import chunking, context, evaluation, retrieval, state
-from scholium.session import table
+from scholium.session import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -53,7 +53,7 @@ s AS (SELECT *, greatest(0, least(1, (alpha - 0.55) / (0.70::DOUBLE - 0.55))) *
   round(coalesce(rep, 0), 6) AS replacement_char_ratio, CAST(coalesce(s.words, 0) AS BIGINT) AS word_count, round(coalesce(score, 0), 6) AS score FROM m LEFT JOIN s USING (extraction_id)""")
 def text_quality(spark: SparkSession, d: str) -> DataFrame:
     q = T.quality(F.col("text"), F.col("page_count"))
-    return table(spark, d, "extractions").select("extraction_id", *[(F.round(c, 6) if n != "word_count" else c).alias(n) for n, c in q.items()])
+    return spread(table(spark, d, "extractions").select("extraction_id", "text", "page_count")).select("extraction_id", *[(F.round(c, 6) if n != "word_count" else c).alias(n) for n, c in q.items()])
 
 
 @query(_QUALITY + """SELECT extraction_id, coalesce(s.words, 0) = 0 OR coalesce(cpp, 0) < 100 OR (coalesce(score, 0) < 0.5 AND coalesce(cpp, 0) < 800) AS recognise FROM m LEFT JOIN s USING (extraction_id)""")

@@ -42,6 +42,14 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     return df.repartition(per_core * cores)
 
 
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partitioned by keys into spark.sql.shuffle.partitions parts that AQE does not merge.
+
+    For few rows with much work a row; the windows and groupings on the same keys behind it need no other shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as spark.checkpoint.dir names it.
 
