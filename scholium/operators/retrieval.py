@@ -6,8 +6,10 @@ stated, small set: they are broadcast if their number is at most ``BROADCAST_ROW
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,22 +114,60 @@ def explain(lists: DataFrame) -> DataFrame:
     return lists.groupBy("query_id", "chunk_id").agg(F.array_join(F.transform(parts, lambda p: F.format_string("%s#%d(%.4f)", p["retriever"], p["rank"], p["score"])), " + ").alias("found_by"))
 
 
-def drop_alike(ranked: DataFrame, text: str = "text", threshold: float = 0.9, pool: int = 100) -> DataFrame:
-    """Greedy in rank order: a chunk is dropped if its word set is too like that of a kept one, or empty.
+class Unlike:
+    """Word sets of one query of which none is too like another, with an exact index to find a like one.
 
-    ranked: query_id, chunk_id, rank, text. A query's list is its retrieval pool, at most ``pool`` long.
+    Two sets as alike as threshold share a word among the first n - ceil(threshold * n) + 1 of each in any common
+    order. Words are numbered as they come and ordered newest first: new words are the rare ones.
     """
-    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"(?U)\s+"), lambda w: w != ""))
-    rows = ranked.where(F.col("rank") <= pool).select("query_id", F.struct("rank", "chunk_id", words.alias("w")).alias("x"))
-    listed = by_key(rows, "query_id").groupBy("query_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    empty = F.filter("xs", lambda x: F.lit(False))
-
-    def alike(a: Column, b: Column) -> Column:
-        common = F.size(F.array_intersect(a["w"], b["w"]))
-        return common / (F.size(a["w"]) + F.size(b["w"]) - common) >= threshold
 
-    kept = F.aggregate("xs", empty, lambda acc, x: F.when((F.size(x["w"]) == 0) | F.exists(acc, lambda y: alike(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
-    return listed.select("query_id", F.posexplode(kept).alias("p", "x")).select("query_id", "x.chunk_id", (F.col("p") + 1).cast("long").alias("rank"))
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+        self.numbers: dict[str, int] = {}
+        self.kept: list[set[int]] = []
+        self.by_word: dict[int, list[int]] = {}
+
+    def add(self, words: list[str]) -> bool:
+        """Whether the set is neither empty nor too like a kept one; then it is kept."""
+        own = {self.numbers.setdefault(w, len(self.numbers)) for w in words}
+        n = len(own)
+        if not n or self.kept and self.threshold <= 0:
+            return False
+        first = sorted(own, reverse=True)[: max(0, n - math.ceil(self.threshold * n - 1e-9) + 1)]
+        for k in {k for x in first for k in self.by_word.get(x, ())}:
+            other = self.kept[k]
+            if min(n, len(other)) >= (self.threshold - 1e-9) * max(n, len(other)):
+                common = len(own & other)
+                if common / (n + len(other) - common) >= self.threshold:
+                    return False
+        for x in first:
+            self.by_word.setdefault(x, []).append(len(self.kept))
+        self.kept.append(own)
+        return True
+
+
+def drop_alike(ranked: DataFrame, text: str = "text", threshold: float = 0.9) -> DataFrame:
+    """Greedy in rank order over a query's whole list: a chunk is dropped if its word set is too like that of a kept one, or empty.
+
+    ranked: query_id, chunk_id, rank, text. Rows stream past in order; a task holds the word sets that one query keeps.
+    """
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"(?U)\s+"), lambda w: w != ""))
+    rows = by_key(ranked.select("query_id", "chunk_id", "rank", words.alias("w")), "query_id").sortWithinPartitions("query_id", "rank", "chunk_id")
+    kinds = dict(rows.dtypes)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, unlike = None, Unlike(threshold)
+        for batch in batches:
+            at, ranks = [], []
+            for i, (q, w) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if q != query:
+                    query, unlike = q, Unlike(threshold)
+                if unlike.add(w):
+                    at.append(i)
+                    ranks.append(len(unlike.kept))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), batch.column(1).take(pa.array(at, pa.int64())), pa.array(ranks, pa.int64())], names=["query_id", "chunk_id", "rank"])
+
+    return rows.mapInArrow(fold, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, rank long")
 
 
 def cap_per_paper(ranked: DataFrame, paper: str, most: int = 3) -> DataFrame:

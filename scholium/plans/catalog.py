@@ -236,7 +236,7 @@ walk AS (SELECT query_id, 0::BIGINT AS rank, []::VARCHAR[] AS ids, []::VARCHAR[]
 e AS (SELECT query_id, ids FROM walk QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) = 1)
 SELECT query_id, unnest(ids) AS chunk_id, unnest(range(1, len(ids) + 1)) AS rank FROM e""")
 def dedup_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    """Near copies dropped from each query's retrieval pool, its hundred best chunks; the pool is the feature."""
+    """Near copies dropped from each query's whole list. The SQL looks at its hundred best chunks only, which give the first rows here."""
     return retrieval.drop_alike(_ranked(spark, d, "text"))
 
 

@@ -127,6 +127,29 @@ def test_alike_is_greedy(spark):
     assert rows(retrieval.drop_alike(df, threshold=0.5).select("chunk_id")) == [("a",)]
 
 
+def test_alike_takes_long_lists_whole(spark):
+    import random
+
+    rng, data = random.Random(7), []
+    for q, n in (("hot", 400), ("cold", 30)):
+        texts = []
+        for _ in range(n):
+            words = list(rng.choice(texts)) if texts and rng.random() < 0.5 else [f"w{rng.randrange(60)}" for _ in range(rng.randrange(1, 25))]
+            for _ in range(rng.randrange(3)):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(60)}"
+            texts.append(words)
+        data += [(q, f"{q}{i:03}", i + 1, " ".join(w)) for i, w in enumerate(texts)]
+    df = spark.createDataFrame(data, "query_id string, chunk_id string, rank int, text string").repartition(5)
+    for threshold in (0.5, 0.8, 0.9, 1.0):
+        want, kept = [], {}
+        for q, c, _, t in data:
+            own, before = set(t.split()), kept.setdefault(q, [])
+            if not any(len(own & k) / len(own | k) >= threshold for k in before):
+                before.append(own)
+                want.append((q, c, len(before)))
+        assert rows(retrieval.drop_alike(df, threshold=threshold)) == sorted(want)
+
+
 def test_bm25_by_brute_force(spark):
     docs = [(1, "red green red"), (2, "green blue"), (3, None), (4, ""), (5, "Blue blue BLUE sky")]
     got = {(r["query_id"], r["doc_id"]): r["score"] for r in retrieval.bm25(spark.createDataFrame(docs, "d long, t string"), "d", "t", spark.createDataFrame([(9, "red blue blue"), (8, None)], "q long, s string"), "q", "s").collect()}
