@@ -21,16 +21,16 @@ def passage(label: Column, title: Column, authors: Column, published: Column, pl
     return F.concat(head, F.lit(" — "), place, F.lit("\n"), F.coalesce(text, F.lit("")))
 
 
-def pack(ranked: DataFrame, budget: int = 3000, pool: int = 100) -> DataFrame:
+def pack(ranked: DataFrame, budget: int = 3000) -> DataFrame:
     """Chunks kept under a token budget, in rank order: query_id, chunk_id, rank, label, cost, used, rendered.
 
     ranked: query_id, rank, chunk_id, arxiv_id, version, title, authors, published_at, section, subsection, text.
     A chunk that does not fit is skipped, later ones may still fit. Labels number the papers that keep a
-    passage, by first appearance. A query's list is its retrieval pool, at most ``pool`` rows.
+    passage, by first appearance. The whole list is walked; of a row only rank, chunk_id and cost are held.
     """
     place = location(F.col("section"), F.col("subsection"))
     draw = lambda label: passage(label, F.col("title"), F.col("authors"), F.col("published_at"), place, F.col("text"))
-    rows = ranked.where(F.col("rank") <= pool).withColumn("cost", token_estimate(draw(F.lit("P1"))))  # any label costs the same
+    rows = ranked.withColumn("cost", token_estimate(draw(F.lit("P1"))))  # any label costs the same
     listed = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "cost"))).alias("xs"))
     start = F.struct(F.lit(0).alias("used"), F.filter("xs", lambda x: F.lit(False)).alias("kept"))
     packed = F.aggregate("xs", start, lambda a, x: F.when(a["used"] + x["cost"] > budget, a).otherwise(F.struct((a["used"] + x["cost"]).alias("used"), F.concat(a["kept"], F.array(x)).alias("kept"))))

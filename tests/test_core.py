@@ -189,6 +189,15 @@ def test_pack_skips_what_does_not_fit(spark):
     assert [(r["chunk_id"], r["label"]) for r in got] == [("c1", "P1"), ("c3", "P2")] and "(A et al., 2024) — body" in got[0]["rendered"]
 
 
+def test_pack_walks_the_whole_list(spark):
+    sizes = [50, *[500] * 130, 20]  # what fits at last stands behind rank 100
+    data = [("q", i, f"c{i}", f"p{i}", 1, "T", ["A", "B"], "2024", None, None, "word " * n) for i, n in enumerate(sizes, 1)]
+    df = spark.createDataFrame(data, "query_id string, rank int, chunk_id string, arxiv_id string, version int, title string, authors array<string>, published_at string, section string, subsection string, text string")
+    packed = context.pack(df, budget=150)
+    assert rows(packed.select("rank", "chunk_id", "label")) == [(1, "c1", "P1"), (132, "c132", "P2")]
+    assert rows(context.citations(packed).select("label", "chunk_ids")) == [("P1", "c1"), ("P2", "c132")]
+
+
 def test_upsert_is_idempotent(spark):
     old = spark.createDataFrame([("a", 2)], "id string, v int")
     new = spark.createDataFrame([("a", 1, 1), ("a", 3, 2), ("a", 2, 3), ("b", 1, 4), ("b", 1, 5), (None, 1, 6)], "id string, v int, t int")
