@@ -243,3 +243,12 @@ def test_every_query_runs(spark):
     if path.exists():
         for name in ("p4_found", "p8_found", "p2_types"):
             assert e.queries()[name](spark, str(path)).select(F.count(F.lit(1))).first()[0] >= 0
+
+
+def test_a_lone_line_can_be_furniture():
+    body = "We measured how the trained system reads {0} over many pages.\nIt reads them line by line and keeps what {0} said.\n"
+    pages = scannoise.lines_of(f"{body.format('long texts')}\f\n8\n\f{body.format('short notes')}\f15   Tavask and Bremel\f  Proc. Workshop on Invented Methods, p. 7\f{body.format('old tables')}\fThe Last Sentence stands alone")
+    lone = [next(n for n, x in p if x.strip()) for p in pages if sum(bool(x.strip()) for _, x in p) == 1]
+    got = scannoise.furniture(pages, set())
+    assert got == set(lone[:3])  # the top-line guess is not made for a lone line
+    assert scannoise.furniture(scannoise.lines_of("\n12\n"), set()) == scannoise.furniture(scannoise.lines_of("12\n\f\n"), set()) == set()
