@@ -252,3 +252,39 @@ def test_a_lone_line_can_be_furniture():
     got = scannoise.furniture(pages, set())
     assert got == set(lone[:3])  # the top-line guess is not made for a lone line
     assert scannoise.furniture(scannoise.lines_of("\n12\n"), set()) == scannoise.furniture(scannoise.lines_of("12\n\f\n"), set()) == set()
+
+
+def test_channel_learns_from_every_kept_word(spark):
+    rng = random.Random(11)
+    common = sorted({"".join(rng.choice("pxyzkw") for _ in range(7)) for _ in range(5600)})[:5200]
+    lines = [" ".join(common[i : i + 40]) for i in range(0, len(common), 40)] * 4 + ["zzheyp"] * 3 + ["zzhcyp"] * 2
+    model = scannoise.learn_model(spark.createDataFrame(list(enumerate(lines)), "id long, text string"))
+    assert len(model.words) == len(common) + 1
+    assert model.channel[("c", "e")] > 2 * model.channel[("5", "s")]
+
+
+def test_candidates_are_not_cut():
+    channel = dict.fromkeys(scannoise.CONFUSIONS, 1e-3)
+    long = "nu" * 90 + "eye"  # its misread end lies behind more than 400 ways to change one place
+    assert [v for v, _, _ in scannoise.Model({long: 50}, {}, {}, set(), 10_000, channel).candidates("nu" * 90 + "cyc")] == ["nu" * 90 + "cyc", long]
+    words = {"xixux": 100, "x1xux": 100, "xlxiix": 100, "xlxvx": 100, "xlxnx": 10, "before": 20}
+    model = scannoise.Model(words, {"before xlxnx": 10}, {}, set(), 10_000, channel)
+    assert len(model.candidates("xlxux")) == 6
+    assert [v for v, _, _ in model.decode(["before", "xlxux"])] == ["before", "xlxnx"]
+
+
+def test_reach_loses_no_candidate():
+    rng, channel = random.Random(5), dict.fromkeys(scannoise.CONFUSIONS, 1e-3)
+    words = {"".join(rng.choice("celiodnrum") for _ in range(rng.randrange(3, 9))): 50 for _ in range(400)}
+    model = scannoise.Model(words, {}, {}, set(), 20_000, channel)
+
+    def changed(w, start):
+        return {(w[:i] + printed + w[i + len(read) :], i + len(printed)) for read, printed in channel for i in range(start, len(w)) if w.startswith(read, i)}
+
+    for word in [rng.choice(sorted(changed(w, 0)) or [(w, 0)])[0] for w in words]:
+        once = changed(word, 0)
+        want = {v for v, _ in once if v in words and v != word}
+        if not want and len(word) > 5:
+            want = {v for u, i in once for v, _ in changed(u, i) if v in words and v != word}
+        if word not in words:
+            assert {v for v, _, at in model.candidates(word) if at >= 0} == want
