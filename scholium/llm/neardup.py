@@ -167,7 +167,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8,
 
     tokens = stored(spread(rows).mapInArrow(read, f"id {kind}, class_id long, seq array<int>"))
     members = tokens.select("id", "class_id").distinct()
-    classes = tokens.select("class_id", "seq").dropDuplicates(["class_id"])
+    orders = tokens.select("class_id", "seq").distinct()  # sketches depend on order and repeats, a class on neither
+    classes = tokens.groupBy("class_id").agg(F.min("seq").alias("seq"))
 
     total, weights = max(tokens.count(), 1), np.ones(BINS)
     bins = tokens.select(F.explode(F.array_distinct(F.transform("seq", lambda w: w.bitwiseAND(BINS - 1)))).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
@@ -187,7 +188,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8,
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, count)), pa.array(found.ravel())], names=["class_id", "sketch"])
 
-    hits = classes.mapInArrow(draw, "class_id long, sketch long")
+    hits = orders.mapInArrow(draw, "class_id long, sketch long")
     pairs = bucket_pairs(hits)
     distinct = F.array_distinct("seq")
     a = classes.select(F.col("class_id").alias("class_a"), F.col("seq").alias("seq_a"), distinct.alias("set_a"))
@@ -206,7 +207,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8,
 
 
 def bucket_pairs(hits: DataFrame, small: int = 256) -> DataFrame:
-    """Distinct class_a < class_b that share a sketch. hits: class_id, sketch, each combination once.
+    """Distinct class_a < class_b that share a sketch. hits: class_id, sketch; repeated combinations count once.
 
     One shuffle by sketch brings a bucket together and its rows stream past in order. Buckets of up to
     ``small`` classes are paired at once; the classes of a larger one are only passed on, and meet in a
@@ -214,7 +215,7 @@ def bucket_pairs(hits: DataFrame, small: int = 256) -> DataFrame:
     """
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, open_sketch, is_large = [np.empty(0, np.int64)], None, False
+        held, open_sketch, is_large, last = [np.empty(0, np.int64)], None, False, None
 
         def rows(a: np.ndarray, b: np.ndarray | None, sketch: int | None) -> pa.RecordBatch:
             null = pa.nulls(len(a), pa.int64())
@@ -231,6 +232,13 @@ def bucket_pairs(hits: DataFrame, small: int = 256) -> DataFrame:
 
         for batch in batches:
             ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            if not len(ids):
+                continue
+            fresh = np.concatenate(([(keys[0], ids[0]) != last], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])))
+            last = keys[-1], ids[-1]
+            ids, keys = ids[fresh], keys[fresh]
+            if not len(ids):
+                continue
             edges = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
             sizes = np.diff(edges)
             first_ends, last_begins = edges[1], edges[-2]

@@ -288,3 +288,22 @@ def test_reach_loses_no_candidate():
             want = {v for u, i in once for v, _ in changed(u, i) if v in words and v != word}
         if word not in words:
             assert {v for v, _, at in model.candidates(word) if at >= 0} == want
+
+
+def test_every_order_of_a_class_is_sketched(spark):
+    rng, texts = random.Random(2), []
+    for _ in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        mixed = rng.sample(words, 60)
+        near = [f"z{rng.randrange(10**6)}" if i in (20, 40) else w for i, w in enumerate(mixed)]
+        texts += [words, mixed, near]
+    for order in (1, -1):  # whichever member of a class comes first
+        df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)][::order], "id long, text string").coalesce(1)
+        found = {tuple(r) for r in neardup.expand(*neardup.near_duplicates(df, "id", "text")).collect()}
+        assert found == {p for i in range(0, 120, 3) for p in combinations(range(i, i + 3), 2)}
+
+
+def test_bucket_pairs_take_repeats_once(spark):
+    hits = [(c, s) for s in range(3) for c in range(5 + 3 * s)]
+    df = spark.createDataFrame(hits * 3, "class_id long, sketch long")
+    assert rows(neardup.bucket_pairs(df, small=6)) == sorted(combinations(range(11), 2))
