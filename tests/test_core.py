@@ -226,6 +226,15 @@ def test_sections_and_chunks(spark):
     assert not any("[1] x" in c["text"] for c in chunks)
 
 
+def test_long_texts_keep_their_end(spark):
+    text = "1 Introduction\n" + "\n\n".join(f"Part {i} " + "has some more words of its own " * 12 + "." for i in range(700)) + "\n\nThe very end of it is here."
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    limits = chunking.Limits(most=100, least=20, overlap=0)
+    whole = chunking.chunk_texts(df, "id", "text", limits).orderBy("chunk_index").collect()
+    assert len(whole) > 600 and whole[-1]["text"].endswith("The very end of it is here.")
+    assert chunking.chunk_texts(df, "id", "text", chunking.Limits(most=100, least=20, overlap=0, chunks=500)).count() <= 500
+
+
 def test_sentences_keep_abbreviations(spark):
     got = one(spark, F.array_join(chunking.split_sentences(F.col("t")), "|"), t="We used e.g. Adam. It works. See Fig. 2 for more.")
     assert got == "We used e.g. Adam.|It works.|See Fig. 2 for more."
