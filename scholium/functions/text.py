@@ -15,6 +15,7 @@ DENSITY = (100.0, 800.0)
 LEGIBLE = (0.55, 0.70)
 WORD_LENGTH = (2.5, 12.0)
 REPLACED_MOST, REPLACED_FACTOR = 0.01, 0.25
+EMPTY_REASON = "extraction produced no text at all"
 CONTROL = r"[\x00-\x08\x0b\x0e-\x1f\x7f]"
 
 
@@ -69,7 +70,15 @@ def quality(text: Column, pages: Column) -> dict[str, Column]:
     shape = F.when((mean >= WORD_LENGTH[0]) & (mean <= WORD_LENGTH[1]), 1.0).otherwise(0.0)
     intact = F.when(bad > REPLACED_MOST, REPLACED_FACTOR).otherwise(1.0)
     score = clamp(alpha, *LEGIBLE) * intact * (0.6 * clamp(cpp, *DENSITY) + 0.4 * shape)
-    return {"chars_per_page": on(cpp), "alpha_ratio": on(alpha), "mean_word_length": on(mean), "replacement_char_ratio": on(bad), "word_count": F.when(paged, F.when(some, words).otherwise(0).cast("long")), "score": on(score)}
+    r = lambda when, form, v: F.when(when, F.format_string(form, v))
+    reasons = F.array_compact(F.array(
+        r(F.coalesce(cpp, F.lit(0.0)) < DENSITY[0], "only %.0f chars/page, looks like a scanned document", F.coalesce(cpp, F.lit(0.0))),
+        r(alpha < LEGIBLE[0], "alphabetic ratio %.2f suggests a broken font encoding", alpha),
+        r(mean < WORD_LENGTH[0], "mean word length %.1f suggests character-level fragmentation", mean),
+        r(mean > WORD_LENGTH[1], "mean word length %.1f suggests collapsed spacing", mean),
+        r(bad > REPLACED_MOST, "%.1f%% replacement characters indicate decoding failure", bad * 100),
+    ))
+    return {"reasons": F.when(paged, F.when(some, reasons).otherwise(F.array(F.lit(EMPTY_REASON)))), "chars_per_page": on(cpp), "alpha_ratio": on(alpha), "mean_word_length": on(mean), "replacement_char_ratio": on(bad), "word_count": F.when(paged, F.when(some, words).otherwise(0).cast("long")), "score": on(score)}
 
 
 def needs_recognition(q: dict[str, Column], threshold: float = 0.5) -> Column:
@@ -77,6 +86,27 @@ def needs_recognition(q: dict[str, Column], threshold: float = 0.5) -> Column:
     return (q["word_count"] == 0) | (q["chars_per_page"] < DENSITY[0]) | ((q["score"] < threshold) & (q["chars_per_page"] < DENSITY[1]))
 
 
+def choose_extraction(native: dict[str, Column], recognised: dict[str, Column], ran: Column, failed: Column | None = None, threshold: float = 0.5) -> dict[str, Column]:
+    """Which text of a document to keep: the recognised one only if it was wanted, ran and scores strictly higher.
+
+    ran: whether recognition gave a text; failed: why it gave none (null: it was not tried). method is pymupdf, ocr or none.
+    """
+    wanted = needs_recognition(native, threshold)
+    better = F.coalesce(wanted & ran & (recognised["score"] > native["score"]), F.lit(False))
+    reason = failed if failed is not None else F.lit(None).cast("string")
+    return {
+        "method": F.when(better, F.lit("ocr")).when(wanted & (native["word_count"] == 0), F.lit("none")).otherwise(F.lit("pymupdf")),
+        "score": F.when(better, recognised["score"]).otherwise(native["score"]),
+        "ocr_attempted": wanted & ran,
+        "ocr_skipped_reason": F.when(wanted & ~ran, F.coalesce(reason, F.lit("ocr_disabled_by_configuration"))),
+    }
+
+
+def page_ratio(text: Column, pages: Column, least: int = 50) -> Column:
+    """Share of the pages that hold text; no pages give 0."""
+    return F.when(pages > 0, pages_with_text(text, least) / pages).otherwise(F.lit(0.0))
+
+
 def pages_with_text(text: Column, least: int = 50) -> Column:
     """Number of pages (between form feeds) with at least ``least`` characters once stripped; null has 0."""
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\f"), lambda p: F.length(F.regexp_replace(p, r"(?U)^\s+|\s+$", "")) >= least))
@@ -112,16 +142,41 @@ def stable_vector(text: Column, dims: int = 64, prefix: str = "") -> Column:
     return F.transform(bound, lambda s: F.transform(s["r"], lambda x: x / s["n"]))[0]
 
 
+def _brackets(answer: Column) -> Column:
+    return F.regexp_extract_all(answer, F.lit(r"\[([^\[\]]{1,60})\]"), F.lit(1))
+
+
+def _labels(content: Column) -> Column:
+    return F.regexp_extract_all(content, F.lit(r"(?Ui)\bP\s?(\d+)\b"), F.lit(1))
+
+
 def citation_labels(answer: Column) -> Column:
     """Distinct labels P1, P2, ... inside square brackets of up to 60 characters, by first appearance."""
-    brackets = F.regexp_extract_all(answer, F.lit(r"\[([^\[\]]{1,60})\]"), F.lit(1))
-    return F.array_distinct(F.transform(F.flatten(F.transform(brackets, lambda b: F.regexp_extract_all(b, F.lit(r"(?i)\bP\s?(\d+)\b"), F.lit(1)))), lambda n: F.concat(F.lit("P"), n.cast("bigint").cast("string"))))
+    numbers = F.flatten(F.transform(_brackets(answer), _labels))
+    return F.array_distinct(F.transform(numbers, lambda n: F.concat(F.lit("P"), F.regexp_replace(n, r"^0+(?=\d)", ""))))
+
+
+def malformed_labels(answer: Column) -> Column:
+    """Bracketed numbers without a label, alone or behind a word for a source, stripped, in order."""
+    odd = F.filter(_brackets(answer), lambda b: (F.size(_labels(b)) == 0) & b.rlike(r"(?Ui)^\s*(?:(?:paper|source|ref|reference|citation)\s*)?\d+\s*$"))
+    return F.transform(odd, lambda b: F.regexp_replace(b, r"(?U)^\s+|\s+$", ""))
 
 
 def strip_labels(answer: Column, labels: Column) -> Column:
-    """An answer without the given labels in brackets; blanks collapse, line breaks stay."""
-    bare = F.aggregate(labels, answer, lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"\["), x, F.lit(r"\]")), F.lit("")))
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[ \t]+", " "), r" ([.,;:])", "$1"))
+    """An answer without the given labels: alone in brackets, or first or last in shared ones.
+
+    Then runs of blanks and tabs become one blank, line breaks stay, and the ends are stripped. Without labels
+    the answer is unchanged.
+    """
+
+    def without(t: Column, x: Column) -> Column:
+        label = F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))
+        alone = F.concat(F.lit(r"(?Ui)\[\s*"), label, F.lit(r"\s*\]"))
+        shared = F.concat(F.lit(r"(?Ui)(?<=\[)\s*"), label, F.lit(r"\s*[,;]\s*|\s*[,;]\s*"), label, F.lit(r"\s*(?=\])"))
+        return F.regexp_replace(F.regexp_replace(t, alone, F.lit("")), shared, F.lit(""))
+
+    bare = F.regexp_replace(F.aggregate(labels, answer, without), r"[ \t]{2,}", " ")
+    return F.when(F.size(labels) > 0, F.regexp_replace(bare, r"(?U)^\s+|\s+$", "")).otherwise(answer)
 
 
 def backoff(attempt: Column, base: float = 60.0, most: float = 3600.0) -> Column:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholium.functions.text import citation_labels, location, token_estimate
+from scholium.functions.text import citation_labels, location, malformed_labels, token_estimate
+from scholium.session import by_key
 
 # fixed value: what a model answers when the context does not suffice
 REFUSAL = "INSUFFICIENT_EVIDENCE"
+NO_EVIDENCE, MODEL_DECLINED = "no_evidence", "model_declined"
 
 
 def author_summary(authors: Column) -> Column:
@@ -21,24 +26,56 @@ def passage(label: Column, title: Column, authors: Column, published: Column, pl
     return F.concat(head, F.lit(" — "), place, F.lit("\n"), F.coalesce(text, F.lit("")))
 
 
+def _drawn(label: Column) -> Column:
+    return passage(label, F.col("title"), F.col("authors"), F.col("published_at"), location(F.col("section"), F.col("subsection")), F.col("text"))
+
+
+def costed(chunks: DataFrame) -> DataFrame:
+    """chunks with place and cost, the tokens of the rendered passage. Any label costs the same.
+
+    Made where the texts are scanned, so that ranking and packing move ids and numbers only.
+    """
+    return chunks.withColumn("place", location(F.col("section"), F.col("subsection"))).withColumn("cost", token_estimate(_drawn(F.lit("P1"))))
+
+
 def pack(ranked: DataFrame, budget: int = 3000) -> DataFrame:
-    """Chunks kept under a token budget, in rank order: query_id, chunk_id, rank, label, cost, used, rendered.
+    """Chunks kept under a token budget, in rank order: query_id, chunk_id, arxiv_id, version, place, rank, label, cost, used.
 
-    ranked: query_id, rank, chunk_id, arxiv_id, version, title, authors, published_at, section, subsection, text.
-    A chunk that does not fit is skipped, later ones may still fit. Labels number the papers that keep a
-    passage, by first appearance. The whole list is walked; of a row only rank, chunk_id and cost are held.
+    ranked: query_id, rank, chunk_id, arxiv_id, version, place, cost. A chunk that does not fit is skipped, later
+    ones may still fit. Labels number the papers that keep a passage, by first appearance; used counts up. The whole
+    list streams past; a task holds the labels of one query.
     """
-    place = location(F.col("section"), F.col("subsection"))
-    draw = lambda label: passage(label, F.col("title"), F.col("authors"), F.col("published_at"), place, F.col("text"))
-    rows = ranked.withColumn("cost", token_estimate(draw(F.lit("P1"))))  # any label costs the same
-    listed = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "cost"))).alias("xs"))
-    start = F.struct(F.lit(0).alias("used"), F.filter("xs", lambda x: F.lit(False)).alias("kept"))
-    packed = F.aggregate("xs", start, lambda a, x: F.when(a["used"] + x["cost"] > budget, a).otherwise(F.struct((a["used"] + x["cost"]).alias("used"), F.concat(a["kept"], F.array(x)).alias("kept"))))
-    kept = listed.select("query_id", packed.alias("p")).select("query_id", "p.used", F.explode("p.kept").alias("x")).select("query_id", "used", "x.chunk_id")
-    joined = rows.join(kept, ["query_id", "chunk_id"])
-    first = F.min("rank").over(Window.partitionBy("query_id", "arxiv_id", "version"))
-    labelled = joined.withColumn("first", first).withColumn("label", F.concat(F.lit("P"), F.dense_rank().over(Window.partitionBy("query_id").orderBy("first")).cast("string")))
-    return labelled.withColumn("rendered", draw(F.col("label"))).select("query_id", "chunk_id", "arxiv_id", "version", F.col("rank").cast("long").alias("rank"), "label", "cost", "used", "rendered", place.alias("place"))
+    names = ["query_id", "chunk_id", "arxiv_id", "version", "place", "rank", "cost"]
+    rows = by_key(ranked.select(*names), "query_id").sortWithinPartitions("query_id", "rank", "chunk_id")
+    kinds = dict(rows.dtypes)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, used, labels = None, 0, {}
+        for batch in batches:
+            at, label, total = [], [], []
+            for i, (q, paper, version, cost) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("query_id", "arxiv_id", "version", "cost")), strict=True)):
+                if q != query:
+                    query, used, labels = q, 0, {}
+                if used + cost > budget:
+                    continue
+                used += cost
+                at.append(i)
+                label.append(f"P{labels.setdefault((paper, version), len(labels) + 1)}")
+                total.append(used)
+            own = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in names), pa.array(label, pa.string()), pa.array(total, pa.int64())], names=[*names, "label", "used"])
+
+    return rows.mapInArrow(fold, ", ".join(f"{c} {kinds[c]}" for c in names) + ", label string, used long")
+
+
+def render(packed: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The context of every query: its passages in pack order, a blank line between.
+
+    chunks: one row a chunk_id with title, authors, published_at, section, subsection and text. Only packed chunks are read from it.
+    """
+    drawn = packed.select("query_id", "chunk_id", "rank", "label").join(chunks.select("chunk_id", "title", "authors", "published_at", "section", "subsection", "text"), "chunk_id")
+    xs = F.array_sort(F.collect_list(F.struct("rank", "chunk_id", _drawn(F.col("label")).alias("passage"))))  # within the budget
+    return drawn.groupBy("query_id").agg(F.array_join(F.transform(xs, lambda x: x["passage"]), "\n\n").alias("context"))
 
 
 def citations(packed: DataFrame) -> DataFrame:
@@ -47,18 +84,37 @@ def citations(packed: DataFrame) -> DataFrame:
     return packed.groupBy("query_id", "label", "arxiv_id", "version").agg(F.array_join(F.array_distinct(F.transform(xs, lambda x: x["place"])), "; ").alias("sections"), F.array_join(F.transform(xs, lambda x: x["chunk_id"]), ",").alias("chunk_ids"))
 
 
+def totals(ranked: DataFrame, packed: DataFrame) -> DataFrame:
+    """included, dropped, truncated, used and labels of every query of ranked; nothing packed counts as 0."""
+    kept = packed.groupBy("query_id").agg(F.count(F.lit(1)).alias("included"), F.sum("cost").cast("long").alias("used"), F.countDistinct("label").alias("labels"))
+    both = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("offered")).join(kept, "query_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    rows = both.select("query_id", "offered", zero("included"), zero("used"), zero("labels"))
+    dropped = F.col("offered") - F.col("included")
+    return rows.select("query_id", "included", dropped.alias("dropped"), (dropped > 0).alias("truncated"), "used", "labels")
+
+
+# ---- answers ----------------------------------------------------------------------------------
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def is_refusal(answer: Column) -> Column:
     """The sentinel in a short answer; a null answer is none."""
-    return F.coalesce(F.contains(answer, F.lit(REFUSAL)) & (F.length(F.trim(answer)) < len(REFUSAL) + 200), F.lit(False))
+    return F.coalesce(F.contains(answer, F.lit(REFUSAL)) & (F.length(_stripped(answer)) < len(REFUSAL) + 200), F.lit(False))
 
 
 def check_answers(answers: DataFrame, supplied: str = "supplied", text: str = "text") -> DataFrame:
-    """used (in supplied order), invented (by appearance), grounded, refused and uncited of each answer."""
-    labels = citation_labels(F.coalesce(F.col(text), F.lit("")))
-    rows = answers.withColumn("labels", labels)
+    """used (in supplied order), invented and malformed (by appearance), uncited, grounded and refused of each answer.
+
+    A null answer cites nothing.
+    """
+    shown = F.coalesce(F.col(text), F.lit(""))
+    rows = answers.withColumn("labels", citation_labels(shown))
     return (
         rows.withColumn("used", F.filter(supplied, lambda x: F.array_contains("labels", x)))
         .withColumn("invented", F.array_except("labels", supplied))
+        .withColumn("malformed", malformed_labels(shown))
         .withColumn("uncited", F.array_except(supplied, "labels"))
         .withColumn("grounded", F.size("invented") == 0)
         .withColumn("refused", is_refusal(F.col(text)))
@@ -67,5 +123,40 @@ def check_answers(answers: DataFrame, supplied: str = "supplied", text: str = "t
 
 def messages(question: Column, context: Column, system: str = "Answer from the numbered passages only and cite them.") -> Column:
     """The chat messages of a question; a blank context gives null, since there is nothing to answer from."""
-    user = F.concat(F.lit("Context:\n"), context, F.lit("\n\nQuestion: "), question)
-    return F.when(F.length(F.trim(context)) > 0, F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content"))))
+    user = F.concat(F.lit("Context:\n"), context, F.lit("\n\nQuestion: "), _stripped(question))
+    return F.when(F.length(_stripped(context)) > 0, F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content"))))
+
+
+def answers(questions: DataFrame, replies: DataFrame) -> DataFrame:
+    """The checked answer of every question.
+
+    questions: query_id, question, context, supplied (labels), truncated. replies: query_id, text, finish_reason.
+    Without context a question is refused (no_evidence) whatever the reply; a reply with the sentinel is refused
+    (model_declined) and keeps its sources; else labels are checked. Blank questions have no row, a question
+    without a reply a null text.
+    """
+    asked = questions.where(F.length(_stripped(F.col("question"))) > 0)
+    rows = asked.join(replies.select("query_id", "text", "finish_reason"), "query_id", "left")
+    empty = F.coalesce(F.length(_stripped(F.col("context"))) == 0, F.lit(True))
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("supplied", F.when(empty, none).otherwise(F.coalesce("supplied", none))).withColumn("text", F.when(~empty, F.col("text")))
+    judged = check_answers(rows)
+    refused = empty | F.col("refused")
+    off = lambda c: F.when(refused, none).otherwise(F.col(c))
+    judged = judged.select(
+        "query_id", F.when(refused, F.lit(None).cast("string")).otherwise(_stripped(F.col("text"))).alias("text"), "supplied", off("used").alias("used"), off("invented").alias("invented"), off("malformed").alias("malformed"),
+        F.array_except("supplied", off("used")).alias("uncited"), refused.alias("refused"), F.when(empty, NO_EVIDENCE).when(F.col("refused"), MODEL_DECLINED).alias("refusal_reason"),
+        F.coalesce(~refused & (F.col("finish_reason") == "length"), F.lit(False)).alias("hit_token_limit"), F.coalesce(F.col("truncated") & ~empty, F.lit(False)).alias("truncated_context"),
+    )
+    judged = judged.withColumn("grounded", F.size("invented") == 0).withColumn("has_problems", (F.size("invented") > 0) | (F.size("malformed") > 0) | F.col("hit_token_limit"))
+    return judged.withColumn("summary", answer_summary())
+
+
+def answer_summary() -> Column:
+    """One line about an answer, with what is wrong with it."""
+    listed = lambda word, c: F.when(F.size(c) > 0, F.concat(F.lit(word + " "), F.array_join(c, " ")))
+    line = F.concat_ws(
+        ", ", F.format_string("%d chars", F.length(F.coalesce("text", F.lit("")))), F.format_string("%d/%d sources cited", F.size("used"), F.size("supplied")),
+        listed("INVENTED", "invented"), listed("malformed", "malformed"), F.when(F.col("hit_token_limit"), F.lit("hit token limit")),
+    )
+    return F.when(F.col("refused"), F.format_string("refused (%s)", F.col("refusal_reason"))).otherwise(line)

@@ -1,27 +1,31 @@
 """Retrieval over whole batches of queries: BM25, nearest vectors, fusion and shaping of ranked lists.
 
 All rankings break ties as their docstrings say, so results do not depend on partitioning. Queries are a
-stated, small set: they are broadcast if their number is at most ``BROADCAST_ROWS``, else joined.
+stated set and go to the tasks in blocks of ``QUERY_BLOCK``, however many there are.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from scholium.functions.analysis import stems
 from scholium.functions.text import word_runs
-from scholium.session import by_key, spread
+from scholium.session import by_key, spread, stored
 
-BROADCAST_ROWS = 20_000
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has few enough rows; the count is of a bounded prefix."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+QUERY_BLOCK = 20_000
+FUSED_MOST = 200_000  # rows of ids and ranks, about 10 MB
+CELLS = 4_000_000  # scores held at once, rows times queries
 
 
 def top(df: DataFrame, group: str, k: int, *order: Column) -> DataFrame:
@@ -29,49 +33,166 @@ def top(df: DataFrame, group: str, k: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, doc: str, text: str, queries: DataFrame, query: str, query_text: str, boost: float = 1.0, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, doc_id, score (rounded to 6 digits) of every document that shares a term with a query.
+class Best:
+    """The k best scores of each query so far, ties by the smaller id, over blocks of scored rows."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.ids, self.scores = k, [np.empty(0, object)] * queries, [np.empty(0)] * queries
+        self.least = np.full(queries, -np.inf)
+
+    def add(self, ids: np.ndarray, scores: np.ndarray, usable: np.ndarray) -> None:
+        """ids of the rows, scores (rows x queries), and which of them count."""
+        hopeful = usable & (scores >= self.least)
+        for q in np.flatnonzero(hopeful.any(axis=0)):
+            at = np.flatnonzero(hopeful[:, q])
+            own, values = np.concatenate([self.ids[q], ids[at]]), np.concatenate([self.scores[q], scores[at, q]])
+            if len(values) > self.k:  # what lies below the k-th score is out; ties at it are settled by id
+                keep = values >= np.partition(values, -self.k)[-self.k]
+                own, values = own[keep], values[keep]
+            by_id = np.argsort(own, kind="stable")
+            order = by_id[np.argsort(-values[by_id], kind="stable")][: self.k]
+            self.ids[q], self.scores[q] = own[order], values[order]
+            if len(order) == self.k:
+                self.least[q] = self.scores[q][-1]
+
+    def batch(self, query_ids: list, query_type: pa.DataType, id_type: pa.DataType) -> pa.RecordBatch:
+        whose = [x for q, own in zip(query_ids, self.ids, strict=True) for x in [q] * len(own)]
+        ids = [x for own in self.ids for x in own.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(whose, query_type), pa.array(ids, id_type), pa.array(np.concatenate([np.empty(0), *self.scores]))], names=["query_id", "doc_id", "score"])
+
 
-    Terms are rare-first joined: postings are cut to query terms before they are aggregated, and a
-    document's length comes from its own row, so the text is shuffled nowhere.
-    Null or blank documents count for nothing; a term repeated in the query counts as often.
+def _in_blocks(queries: DataFrame, run: Callable[[list[dict]], DataFrame]) -> DataFrame:
+    """run(queries) for blocks of about QUERY_BLOCK queries; the driver holds one block at a time.
+
+    The results of several blocks are stored one after another, so nothing grows with the number of queries.
+    """
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    if blocks == 1:
+        return run([r.asDict() for r in queries.collect()])
+    part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    done = [stored(run([r.asDict() for r in queries.where(part == b).collect()])) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, done)
+
+
+def _postings(lists: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, count) of the wanted terms in lists of words, and the length of every list."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    code = pc.fill_null(pc.index_in(lists.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    both, counts = np.unique(row[code >= 0] * max(1, len(terms)) + code[code >= 0], return_counts=True)
+    return both // max(1, len(terms)), both % max(1, len(terms)), counts, lengths
+
+
+def bm25(docs: DataFrame, doc: str, fields: Mapping[str, tuple[Column, float]], queries: DataFrame, query: str, query_fields: Mapping[str, Column], k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query_id, doc_id, score (rounded to 6 digits), rank of the k best documents of each query, ties by doc_id.
+
+    fields: words of a document and boost by field name; query_fields: words of a query in that field. The score
+    is the boosted sum over fields, statistics are per field. One scan counts the query terms (a row a term and
+    task), one scores every document inside its own row and keeps k rows a query and task, which alone are
+    shuffled. Null and empty fields count for nothing; a term repeated in the query counts as often.
     """
-    words = spread(docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("t"))).select("doc_id", word_runs(F.col("t")).alias("w")).where(F.size("w") > 0).select("doc_id", "w", F.size("w").alias("dl"))
-    corpus = words.agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"))
-    terms = queries.select(F.col(query).alias("query_id"), F.explode(word_runs(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    wanted = terms.select("term").distinct()
-    hint = F.broadcast if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda df: df  # weights has a row a term at most
-    postings = words.select("doc_id", "dl", F.explode("w").alias("term")).join(hint(wanted), "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = terms.join(df, "term").crossJoin(F.broadcast(corpus))  # one row
-    idf = F.ln(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = postings.join(hint(weights), "term").select("query_id", "doc_id", (F.col("qtf") * idf * tf).alias("part"))
-    return scored.groupBy("query_id", "doc_id").agg(F.round(F.sum("part") * boost, 6).alias("score"))
-
-
-def boosted(parts: Sequence[tuple[DataFrame, float]]) -> DataFrame:
-    """Sum of several fields' scores, each times its boost."""
-    rows = [p.select("query_id", "doc_id", (F.col("score") * w).alias("score")) for p, w in parts]
-    both = rows[0]
-    for r in rows[1:]:
-        both = both.unionByName(r)
-    return both.groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score"))
+    names = list(fields)
+    words = spread(docs.select(F.col(doc).alias("doc_id"), *[c.alias(f"w{i}") for i, (c, _) in enumerate(fields.values())]).where(F.col("doc_id").isNotNull()))
+    asked = queries.select(F.col(query).alias("query_id"), *[query_fields[f].alias(f"w{i}") for i, f in enumerate(names)]).where(F.col("query_id").isNotNull())
+    kinds = dict(words.dtypes) | dict(asked.dtypes)
+    query_type, id_type = to_arrow_type(asked.schema["query_id"].dataType), to_arrow_type(words.schema["doc_id"].dataType)
+
+    def one(listed: list[dict]) -> DataFrame:
+        terms = [pa.array(sorted({t for r in listed for t in r[f"w{i}"] or []}), pa.string()) for i in range(len(names))]
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen, docs_, length = [np.zeros(len(t) + 1, np.int64) for t in terms], [0] * len(terms), [0] * len(terms)
+            for batch in batches:
+                for i, t in enumerate(terms):
+                    _, term, _, lengths = _postings(batch.column(i + 1), t)
+                    seen[i] += np.bincount(term, minlength=len(t) + 1)
+                    docs_[i] += int((lengths > 0).sum())
+                    length[i] += int(lengths.sum())
+            rows = [(i, j, int(n), 0) for i, s in enumerate(seen) for j, n in enumerate(s) if n] + [(i, -1, n, x) for i, (n, x) in enumerate(zip(docs_, length, strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["field", "term", "n", "length"])
+
+        total, df = {}, [np.zeros(len(t)) for t in terms]
+        for r in words.mapInArrow(count, "field long, term long, n long, length long").groupBy("field", "term").agg(F.sum("n").alias("n"), F.sum("length").alias("length")).collect():
+            if r["term"] < 0:
+                total[r["field"]] = (r["n"], r["length"] / max(1, r["n"]))
+            else:
+                df[r["field"]][r["term"]] = r["n"]
+        idf, users = [], []
+        for i, t in enumerate(terms):
+            n = total.get(i, (0, 0.0))[0]
+            idf.append(np.log(1 + (n - df[i] + 0.5) / (df[i] + 0.5)))
+            at = {x: j for j, x in enumerate(t.to_pylist())}
+            who: list[list[tuple[int, int]]] = [[] for _ in at]
+            for q, r in enumerate(listed):
+                for x, times in Counter(r[f"w{i}"] or []).items():
+                    who[at[x]].append((q, times))
+            users.append([(np.array([q for q, _ in w], int), np.array([n for _, n in w], float)) for w in who])
+        boosts, step = [x for _, x in fields.values()], max(1, CELLS // max(1, len(listed)))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Best(len(listed), k)
+            for batch in (x.slice(a, step) for x in batches for a in range(0, x.num_rows, step)):
+                sums = np.zeros((batch.num_rows, len(listed)))
+                for i, t in enumerate(terms):
+                    row, term, tf, lengths = _postings(batch.column(i + 1), t)
+                    part = boosts[i] * idf[i][term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[row] / max(total[i][1], 1e-9)))
+                    by_term = np.argsort(term, kind="stable")
+                    for own in np.split(by_term, np.flatnonzero(np.diff(term[by_term])) + 1) if len(term) else []:
+                        q, times = users[i][term[own[0]]]
+                        sums[np.ix_(row[own], q)] += np.outer(part[own], times)
+                best.add(np.array(batch.column(0).to_pylist(), object), np.round(sums, 6), sums > 0)
+            yield best.batch([r["query_id"] for r in listed], query_type, id_type)
+
+        return words.mapInArrow(score, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double")
+
+    return top(_in_blocks(asked, one), "query_id", k, F.desc("score"), F.asc("doc_id"))
 
 
 def nearest(vectors: DataFrame, vec: str, embedding: str, queries: DataFrame, query: str, query_vec: str, k: int = 10, exclude_self: bool = True) -> DataFrame:
     """The k most similar vectors (cosine) of each query, exactly: query_id, vec_id, score, rank.
 
-    The queries are a stated set and meet the vectors in blocks: each task holds the query block and
-    streams its vectors, keeping k a query, so what is shuffled is k rows a query and task.
+    The queries are a stated set and meet the vectors in blocks of rows, by matrix products; each task keeps k a
+    query, which alone are shuffled. Null and zero vectors, and such of another length than the queries, have no score.
     """
-    q = queries.select(F.col(query).alias("query_id"), F.col(query_vec).cast("array<double>").alias("qv")).where(F.col("qv").isNotNull())
-    v = vectors.select(F.col(vec).alias("vec_id"), F.col(embedding).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
-    dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    pairs = v.withColumn("vn", norm("v")).join(_small(q.withColumn("qn", norm("qv"))), F.col("vec_id") != F.col("query_id") if exclude_self else F.lit(True))
-    scored = pairs.select("query_id", "vec_id", F.round(dot / (F.col("qn") * F.col("vn")), 6).alias("score"))
-    return top(scored, "query_id", k, F.desc("score"), F.asc("vec_id"))
+    q = queries.select(F.col(query).alias("query_id"), F.col(query_vec).cast("array<double>").alias("v")).where(F.col("query_id").isNotNull() & (F.size("v") > 0))
+    v = spread(vectors.select(F.col(vec).alias("doc_id"), F.col(embedding).cast("array<double>").alias("v")).where(F.col("doc_id").isNotNull() & (F.size("v") > 0)))
+    kinds = dict(v.dtypes) | dict(q.dtypes)
+    query_type, id_type = to_arrow_type(q.schema["query_id"].dataType), to_arrow_type(v.schema["doc_id"].dataType)
+
+    def one(listed: list[dict]) -> DataFrame:
+        sizes = {len(r["v"]) for r in listed}
+        if len(sizes) > 1:
+            raise ValueError("the query vectors differ in length")
+        dims = sizes.pop() if sizes else 0
+        wanted = np.array([r["v"] for r in listed], float).reshape(len(listed), dims)
+        with np.errstate(all="ignore"):
+            wanted = wanted / np.linalg.norm(wanted, axis=1, keepdims=True)
+        places: dict[object, list[int]] = {}
+        for j, r in enumerate(listed):
+            places.setdefault(r["query_id"], []).append(j)
+        step = max(1, CELLS // max(1, len(listed)))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Best(len(listed), k)
+            for batch in (x.slice(a, step) for x in batches for a in range(0, x.num_rows, step)):
+                batch = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), dims))
+                if not batch.num_rows:
+                    continue
+                own = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, dims)
+                with np.errstate(all="ignore"):
+                    cosine = np.round(own @ wanted.T / np.linalg.norm(own, axis=1, keepdims=True), 6)
+                ids, usable = batch.column(0).to_pylist(), np.isfinite(cosine)
+                if exclude_self:
+                    for i, x in enumerate(ids):
+                        if x in places:
+                            usable[i, places[x]] = False
+                best.add(np.array(ids, object), cosine, usable)
+            yield best.batch([r["query_id"] for r in listed], query_type, id_type)
+
+        return v.mapInArrow(score, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double")
+
+    found = _in_blocks(q, one).select("query_id", F.col("doc_id").alias("vec_id"), "score")
+    return top(found, "query_id", k, F.desc("score"), F.asc("vec_id"))
 
 
 def metadata_filter(df: DataFrame, equal: dict[str, Sequence] | None = None, overlap: dict[str, Sequence] | None = None, since: tuple[str, object] | None = None, until: tuple[str, object] | None = None) -> DataFrame:
@@ -123,11 +244,11 @@ class Unlike:
 
     def __init__(self, threshold: float):
         self.threshold = threshold
-        self.numbers: dict[str, int] = {}
+        self.numbers: dict[int, int] = {}
         self.kept: list[set[int]] = []
         self.by_word: dict[int, list[int]] = {}
 
-    def add(self, words: list[str]) -> bool:
+    def add(self, words: list[int]) -> bool:
         """Whether the set is neither empty nor too like a kept one; then it is kept."""
         own = {self.numbers.setdefault(w, len(self.numbers)) for w in words}
         n = len(own)
@@ -146,28 +267,31 @@ class Unlike:
         return True
 
 
-def drop_alike(ranked: DataFrame, text: str = "text", threshold: float = 0.9) -> DataFrame:
+def drop_alike(ranked: DataFrame, text: str = "text", threshold: float = 0.9, more: Sequence[str] = ()) -> DataFrame:
     """Greedy in rank order over a query's whole list: a chunk is dropped if its word set is too like that of a kept one, or empty.
 
-    ranked: query_id, chunk_id, rank, text. Rows stream past in order; a task holds the word sets that one query keeps.
+    ranked: query_id, chunk_id, rank, text, and more columns to keep. Words travel as 64-bit hashes. Rows stream
+    past in order; a task holds the word sets that one query keeps.
     """
-    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"(?U)\s+"), lambda w: w != ""))
-    rows = by_key(ranked.select("query_id", "chunk_id", "rank", words.alias("w")), "query_id").sortWithinPartitions("query_id", "rank", "chunk_id")
-    kinds = dict(rows.dtypes)
+    words = F.array_distinct(F.transform(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"(?U)\s+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    kept = ranked.select("query_id", "chunk_id", "rank", *more, words.alias("w"))
+    rows = by_key(kept, "query_id").sortWithinPartitions("query_id", "rank", "chunk_id")
+    kinds, names = dict(rows.dtypes), ["query_id", "chunk_id", *more]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query, unlike = None, Unlike(threshold)
         for batch in batches:
             at, ranks = [], []
-            for i, (q, w) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            for i, (q, w) in enumerate(zip(batch.column("query_id").to_pylist(), batch.column("w").to_pylist(), strict=True)):
                 if q != query:
                     query, unlike = q, Unlike(threshold)
                 if unlike.add(w):
                     at.append(i)
                     ranks.append(len(unlike.kept))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), batch.column(1).take(pa.array(at, pa.int64())), pa.array(ranks, pa.int64())], names=["query_id", "chunk_id", "rank"])
+            own = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in names), pa.array(ranks, pa.int64())], names=[*names, "rank"])
 
-    return rows.mapInArrow(fold, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, rank long")
+    return rows.mapInArrow(fold, ", ".join(f"{c} {kinds[c]}" for c in names) + ", rank long")
 
 
 def cap_per_paper(ranked: DataFrame, paper: str, most: int = 3) -> DataFrame:
@@ -176,13 +300,16 @@ def cap_per_paper(ranked: DataFrame, paper: str, most: int = 3) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "chunk_id")).cast("long"))
 
 
-def rerank(ranked: DataFrame, score: str, k: int) -> DataFrame:
-    """By the given scores, ties by the old rank; a query with any null score keeps its order. Adds applied."""
+def rerank(ranked: DataFrame, score: str, k: int, enabled: bool = True) -> DataFrame:
+    """By the given scores, ties by the old rank; a query with any null score keeps its order. Adds applied and reason.
+
+    reason: why the order was kept (disabled, missing_scores), null where the scores were applied.
+    """
     w = Window.partitionBy("query_id")
-    usable = F.min(F.col(score).isNotNull()).over(w)
-    rows = ranked.withColumn("applied", usable)
+    rows = ranked.withColumn("applied", F.min(F.col(score).isNotNull()).over(w) & F.lit(enabled))
     order = F.row_number().over(w.orderBy(F.when(F.col("applied"), F.col(score)).desc_nulls_last(), "rank", "chunk_id")).cast("long")
-    return rows.withColumn("new_rank", order).where(F.col("new_rank") <= k)
+    reason = F.when(~F.col("applied"), F.lit("missing_scores" if enabled else "disabled"))
+    return rows.withColumn("new_rank", order).where(F.col("new_rank") <= k).withColumn("reason", reason)
 
 
 def identity_scores(ranked: DataFrame) -> DataFrame:
@@ -190,11 +317,75 @@ def identity_scores(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("score", (F.count(F.lit(1)).over(Window.partitionBy("query_id")) - F.col("rank") + 1).cast("double"))
 
 
-def hybrid(keyword: DataFrame, vector: DataFrame, chunks: DataFrame, paper: str = "arxiv_id", k: int = 10, pool: int = 50, most: int = 3) -> DataFrame:
-    """Both pools fused by reciprocal rank, near copies dropped, capped per paper, cut to k.
+def hit_rows(hits: DataFrame, retriever: str) -> DataFrame:
+    """Hits (query_id, chunk_id, score, rank) as result rows: a null score is 0, the finding is noted as a contribution."""
+    score = F.coalesce(F.col("score"), F.lit(0.0))
+    return hits.withColumn("score", score).withColumn("contributions", F.array(F.struct(F.lit(retriever).alias("retriever"), F.col("rank"), score.alias("score"))))
+
+
+def result_summary(results: DataFrame, candidates: DataFrame, mode: str) -> DataFrame:
+    """One line a query: mode, rows shown, and how many candidates there were; a query without results has 0."""
+    shown = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("shown"))
+    total = candidates.groupBy("query_id").agg(F.countDistinct("chunk_id").alias("candidates"))
+    both = total.join(shown, "query_id", "left").withColumn("shown", F.coalesce("shown", F.lit(0)))
+    return both.withColumn("summary", F.format_string(f"{mode}: %d of %d candidates", F.col("shown"), F.col("candidates")))
+
+
+@dataclass(frozen=True)
+class Search:
+    """What a search does; the boosts are of stemmed text, exact text and title."""
+
+    mode: str = "hybrid"  # keyword, vector or hybrid
+    k: int = 10
+    pool: int = 50
+    fusion: str = "rrf"  # or weighted
+    rrf_k: int = 60
+    weights: tuple[float, float] = (0.5, 0.5)
+    boosts: tuple[float, float, float] = (1.0, 1.5, 2.0)
+    stem: bool = True  # else all three are of exact words
+    per_paper: int = 3
+    deduplicate: bool = True
+    threshold: float = 0.9
+
+
+def keyword_search(chunks: DataFrame, questions: DataFrame, k: int, how: Search = Search()) -> DataFrame:
+    """query_id, chunk_id, score, rank by BM25 over three fields. chunks: chunk_id, text, title. questions: query_id, query."""
+    loose = stems if how.stem else word_runs
+    made = {"stemmed": (loose, "text"), "exact": (word_runs, "text"), "title": (loose, "title")}
+    fields = {f: (analyse(F.col(c)), w) for (f, (analyse, c)), w in zip(made.items(), how.boosts, strict=True)}
+    asked = {f: analyse(F.col("query")) for f, (analyse, _) in made.items()}
+    return bm25(chunks, "chunk_id", fields, questions, "query_id", asked, k).withColumnRenamed("doc_id", "chunk_id")
+
+
+def vector_search(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """query_id, chunk_id, score, rank by cosine. chunks: chunk_id, vector. questions: query_id, vector."""
+    return nearest(chunks, "chunk_id", "vector", questions, "query_id", "vector", k, exclude_self=False).withColumnRenamed("vec_id", "chunk_id")
+
+
+def search(chunks: DataFrame, questions: DataFrame, how: Search = Search(), paper: str = "arxiv_id") -> DataFrame:
+    """query_id, chunk_id, rank of the best chunks of every question (query_id, query, vector).
 
-    keyword, vector: query_id, chunk_id, rank. chunks: chunk_id, text and the paper column.
+    chunks: chunk_id, text, title, vector and the paper column, already filtered by metadata. A hybrid search fuses
+    both pools, drops near copies, caps each paper and cuts to k; the others give their k best as they are. Only the
+    texts of fused candidates (two pools a question) are looked at again.
     """
-    lists = keyword.where(F.col("rank") <= pool).select("query_id", "chunk_id", "rank", F.lit(1).alias("li")).unionByName(vector.where(F.col("rank") <= pool).select("query_id", "chunk_id", "rank", F.lit(2).alias("li")))
-    fused = reciprocal_rank(lists).join(chunks.select("chunk_id", "text", paper), "chunk_id")
-    return cap_per_paper(drop_alike(fused).join(chunks.select("chunk_id", paper), "chunk_id"), paper, most).where(F.col("rank") <= k)
+    if how.mode == "keyword":
+        return keyword_search(chunks, questions, how.k, how)
+    if how.mode == "vector":
+        return vector_search(chunks, questions, how.k)
+    if how.mode != "hybrid":
+        raise ValueError(f"unknown mode {how.mode}")
+    pools = [keyword_search(chunks, questions, how.pool, how), vector_search(chunks, questions, how.pool)]
+    lists = stored(reduce(DataFrame.unionByName, [p.select("query_id", "chunk_id", "rank", "score", F.lit(i).alias("li")) for i, p in enumerate(pools, 1)]))
+    return hybrid(lists, chunks, how, paper)
+
+
+def hybrid(lists: DataFrame, chunks: DataFrame, how: Search = Search(), paper: str = "arxiv_id") -> DataFrame:
+    """Both pools (query_id, chunk_id, li 1 or 2, rank, score) fused, near copies dropped, capped per paper, cut to k."""
+    pools = lists.where(F.col("rank") <= how.pool)
+    fused = reciprocal_rank(pools, how.rrf_k) if how.fusion == "rrf" else weighted(pools, how.weights)
+    few = pools.limit(FUSED_MOST + 1).count() <= FUSED_MOST  # else both sides are shuffled
+    looked = chunks.select("chunk_id", "text", paper).join((F.broadcast if few else lambda x: x)(fused.select("query_id", "chunk_id", "rank")), "chunk_id")
+    # the texts' words go with the paper through the fold, so no text is read twice
+    kept = drop_alike(looked, threshold=how.threshold, more=[paper]) if how.deduplicate else looked.select("query_id", "chunk_id", "rank", paper)
+    return cap_per_paper(kept, paper, how.per_paper).where(F.col("rank") <= how.k).select("query_id", "chunk_id", "rank")

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.operators.history import build_store, reconstruct, squeeze
-from scholium.session import table
+from scholium.operators.history import as_of, build_store, reconstruct, squeeze
+from scholium.session import stored, table
 
 STATE = ("version", "title")
 
 
 def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_store(table(spark, sf_dir, "arxiv_papers"), "arxiv_id", "updated_at", STATE, rank=("harvested_at",), required=("title",), compare={"title": squeeze("title")})
+    """The checkpoints and deltas of all papers, stored as a table and read back."""
+    return stored(build_store(table(spark, sf_dir, "arxiv_papers"), "arxiv_id", "updated_at", STATE, rank=("harvested_at",), required=("title",), compare={"title": squeeze("title")}))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,12 @@ def p5_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("arxiv_id", "seq", F.col("version").cast("int").alias("version"), F.sha2(squeeze("title"), 256).alias("title_key"), seconds("valid_from"), seconds("valid_to"))
 
 
+def p5_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of every paper at the start of 2024."""
+    rows = as_of(_store(spark, sf_dir), "arxiv_id", STATE, F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return rows.select("arxiv_id", "seq", F.col("version").cast("int").alias("version"), F.sha2(squeeze("title"), 256).alias("title_key"))
+
+
 _CHANGES = r"""
 WITH d AS (
   SELECT arxiv_id, version, regexp_replace(title, '[\s\p{Z}]+', '', 'g') AS t, updated_at
@@ -35,7 +42,7 @@ c AS (SELECT *, lag(version) OVER w AS pv, lag(t) OVER w AS pt FROM d WINDOW w A
 h AS (SELECT * FROM c WHERE pt IS NULL OR pt <> t OR pv IS DISTINCT FROM version)
 """
 
-QUERIES = {"p5_found": p5_found, "p5_history": p5_history}
+QUERIES = {"p5_found": p5_found, "p5_history": p5_history, "p5_as_of": p5_as_of}
 
 SQL = {
     "p5_found": _CHANGES + "SELECT arxiv_id, CAST(version AS INTEGER) AS version, CAST(floor(epoch(updated_at)) AS BIGINT) AS valid_from FROM h",
@@ -43,4 +50,7 @@ SQL = {
     + """SELECT arxiv_id, CAST(row_number() OVER w - 1 AS BIGINT) AS seq, CAST(version AS INTEGER) AS version, sha256(t) AS title_key,
        CAST(floor(epoch(updated_at)) AS BIGINT) AS valid_from, CAST(floor(epoch(lead(updated_at) OVER w)) AS BIGINT) AS valid_to
        FROM h WINDOW w AS (PARTITION BY arxiv_id ORDER BY updated_at)""",
+    "p5_as_of": _CHANGES
+    + """SELECT arxiv_id, CAST(row_number() OVER w - 1 AS BIGINT) AS seq, CAST(version AS INTEGER) AS version, sha256(t) AS title_key FROM h
+       WINDOW w AS (PARTITION BY arxiv_id ORDER BY updated_at) QUALIFY updated_at <= TIMESTAMP '2024-01-01' AND coalesce(lead(updated_at) OVER w > TIMESTAMP '2024-01-01', true)""",
 }

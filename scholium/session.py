@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_STORED: list[str] = []
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "scholium") -> SparkSession:
     """A local session with the settings the engine expects (UTC, AQE, Arrow)."""
     return (
@@ -77,7 +80,21 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """A table written to the shared folder and read again: smaller than a checkpoint for repeating values."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/scholium-{uuid.uuid4().hex}"
+    """A table written to the shared folder and read again: smaller than a checkpoint for repeating values.
+
+    The file system deletes it when the application ends; release() does so at once.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/scholium-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    _STORED.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that stored() wrote; nothing that reads them may run afterwards."""
+    while _STORED:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

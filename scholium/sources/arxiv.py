@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime
@@ -18,27 +19,51 @@ ENTRY = """id string, title string, summary string, published string, updated st
  `arxiv:comment` string, link array<struct<_href string, _rel string, _title string, _type string>>"""
 
 
+# fixed value: the form of a category
+CATEGORY = re.compile(r"^[a-z][a-z-]*(?:\.[A-Za-z]{2,})?$")
+
+
+def _term(value: str) -> str:
+    bare = value.replace('"', "").strip()
+    if not bare:
+        raise ValueError("a search term is empty")
+    return f'"{bare}"' if " " in bare else bare
+
+
 @dataclass(frozen=True)
 class Query:
-    """OR inside a group, AND between groups."""
+    """OR inside a group, AND between groups; date bounds with a zone, the earlier first."""
 
     categories: Sequence[str] = ()
     keywords: Sequence[str] = ()
     authors: Sequence[str] = ()
     submitted: tuple[datetime | None, datetime | None] = (None, None)
     updated: tuple[datetime | None, datetime | None] = (None, None)
+    sort_by: str = "lastUpdatedDate"  # or submittedDate, relevance
+    ascending: bool = True  # oldest first, so that a run that ends early leaves a usable mark
+
+    def __post_init__(self) -> None:
+        for bad in (c for c in self.categories if not CATEGORY.match(c)):
+            raise ValueError(f"no category: {bad}")
+        for a, b in (self.submitted, self.updated):
+            if any(d is not None and d.tzinfo is None for d in (a, b)):
+                raise ValueError("date bounds need a zone")
+            if a and b and a > b:
+                raise ValueError("a date range ends before it begins")
+        if self.sort_by not in ("relevance", "lastUpdatedDate", "submittedDate"):
+            raise ValueError(f"cannot sort by {self.sort_by}")
+        if not (self.categories or self.keywords or self.authors or self.submitted[0] or self.updated[0]):
+            raise ValueError("a query needs a category, keyword, author or first date")
 
     def search(self) -> str:
-        phrase = lambda t: f'"{t}"' if " " in (t := t.replace('"', "")) else t
-        groups = [[f"{p}:{phrase(v)}" for v in vs] for p, vs in (("cat", self.categories), ("all", self.keywords), ("au", self.authors))]
-        stamp = lambda d, other: d.astimezone(UTC).strftime("%Y%m%d%H%M") if d else other
+        """The query string; only lists of alternatives stand in brackets."""
+        lists = ((f"cat:{c}" for c in self.categories), (f"all:{_term(k)}" for k in self.keywords), (f"au:{_term(a)}" for a in self.authors))
+        parts = [f"({x})" for x in map(" OR ".join, lists) if x]
+        stamp = lambda d: d.astimezone(UTC).strftime("%Y%m%d%H%M")
         for name, (a, b) in (("submittedDate", self.submitted), ("lastUpdatedDate", self.updated)):
             if a or b:
-                groups.append([f"{name}:[{stamp(a, OPEN_FROM)} TO {stamp(b, OPEN_UNTIL)}]"])
-        groups = [g for g in groups if g]
-        if not groups:
-            raise ValueError("a query needs a constraint")
-        return " AND ".join(f"({' OR '.join(g)})" for g in groups)
+                parts.append(f"{name}:[{stamp(a) if a else OPEN_FROM} TO {stamp(b) if b else OPEN_UNTIL}]")
+        return " AND ".join(parts)
 
     def predicate(self, categories: str, authors: str, text: str, submitted: str, updated: str) -> Column:
         """The same constraints over a table of papers, so that they reach the scan."""
@@ -51,8 +76,6 @@ class Query:
             parts.append(F.arrays_overlap(F.col(authors), F.array(*map(F.lit, self.authors))))
         for c, (a, b) in ((submitted, self.submitted), (updated, self.updated)):
             parts += [F.col(c) >= F.lit(a)] * bool(a) + [F.col(c) <= F.lit(b)] * bool(b)
-        if not parts:
-            raise ValueError("a query needs a constraint")
         both = parts[0]
         for p in parts[1:]:
             both = both & p
@@ -61,7 +84,7 @@ class Query:
     def page(self, start: int, size: int) -> dict[str, str | int]:
         if start < 0 or size < 1:
             raise ValueError("start >= 0 and size >= 1")
-        return {"search_query": self.search(), "start": start, "max_results": min(size, PAGE_MOST)}
+        return {"search_query": self.search(), "start": start, "max_results": min(size, PAGE_MOST), "sortBy": self.sort_by, "sortOrder": "ascending" if self.ascending else "descending"}
 
 
 def _any(columns: list[Column]) -> Column:
@@ -112,10 +135,33 @@ def read_pdfs(spark: SparkSession, path: str, most_bytes: int = 50_000_000) -> D
     return files.where(F.substring("content", 1, 5) == F.lit(b"%PDF-"))
 
 
+def split_valid(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good records, records set aside) of parse_entries()."""
+    return records.where("valid").drop("valid"), records.where(~F.col("valid")).drop("valid")
+
+
+def by_ids(records: DataFrame, ids: DataFrame, key: str = "arxiv_id") -> DataFrame:
+    """The records of listed ids; an empty list gives none."""
+    return records.join(ids.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_semi")
+
+
+# fixed values: kinds of evaluation queries and where a label comes from
+QUERY_CATEGORIES = ("exact_terminology", "conceptual", "method_comparison", "paper_specific", "multi_source", "vocabulary_mismatch")
+LABEL_SOURCES = ("drafted_from_abstract", "drafted_from_full_text", "human_verified", "human_authored")
+EXAMPLE = "id string, query string, category string, relevant_arxiv_ids array<string>, relevant_sections array<string>, notes string, label_source string, reviewed boolean"
+
+
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation examples of a JSON file; bad JSON, an empty list or repeated ids raise."""
-    rows = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
-    rows = rows.select(F.explode("examples").alias("e")).select("e.*") if "examples" in rows.columns else rows
-    if rows.groupBy("id").count().where("count > 1").limit(1).count() or not rows.limit(1).count():
-        raise ValueError("the dataset is empty or repeats ids")
+    """Evaluation examples of a JSON file with a list ``examples``.
+
+    Bad JSON, no examples, repeated ids, unknown categories or label sources, blank queries or notes and examples
+    without a relevant id raise: to leave one out would change what is measured.
+    """
+    whole = spark.read.schema(f"version string, created string, examples array<struct<{EXAMPLE.replace(' ', ':').replace(',:', ',')}>>").option("multiLine", True).option("mode", "FAILFAST").json(path)
+    rows = whole.select(F.explode("examples").alias("e")).select("e.*").withColumn("reviewed", F.coalesce("reviewed", F.lit(False)))
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    odd = blank("query") | blank("notes") | F.coalesce(F.size("relevant_arxiv_ids") < 1, F.lit(True)) | ~F.coalesce(F.col("category").isin(*QUERY_CATEGORIES) & F.col("label_source").isin(*LABEL_SOURCES), F.lit(False)) | F.col("id").isNull()
+    n, ids, bad = rows.agg(F.count(F.lit(1)), F.countDistinct("id"), F.count_if(odd)).first()
+    if not n or bad or n != ids:
+        raise ValueError(f"of {n} examples {bad} are malformed and {n - ids} repeat an id")
     return rows
