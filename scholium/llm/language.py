@@ -6,13 +6,16 @@ Three sources of evidence are multiplied:
   expectation-maximization from declared labels that are partly wrong;
 * the declared language (markup): how often each label is declared for each true language, learned too;
 * the address (source) of the document: a prior over languages by grouped aggregation over all documents,
-  the host's counts smoothed towards those of the whole corpus.
+  the host's counts smoothed towards those of its address suffix (the part behind the last dot), and these
+  towards those of the whole corpus. A source without a suffix is smoothed towards the corpus at once.
 
 Sentences are the units; a hidden Markov chain over a text's sentences (leaving a language costs
 ``switch``) gives the segments, its posterior the confidence.
 
-The text model is fitted on a bounded sample: ``fit_rows`` labelled rows with the smallest hash, from each
-at most ``fit_chars`` characters. Priors and decisions cover all rows and whole texts.
+The text model is fitted on a bounded sample: about ``fit_rows`` labelled rows, those with a hash below a share
+of all that their number sets, and of each a stretch of ``fit_chars`` characters from a place the hash sets. So
+what reaches the driver does not grow with the rows or their partitions. Priors and decisions cover all rows
+and whole texts.
 
 Defined results: null and blank texts give no rows. A text without any evidence gets the language that
 declaration and prior make likeliest, with that confidence. Repeated rows are labelled each.
@@ -40,6 +43,7 @@ THREE = {
 SENTENCE_END = re.compile(r"(?<=[.!?])[\"'”“»)\]]*\s+|(?<=[。！？])\s*|\n[ \t\r]*\n\s*")
 WORD = re.compile(r"[^\W\d_\u3040-\u9fff]+|[\u3040-\u9fff]")  # scripts without blanks: each character
 NO_WORDS = re.compile(r"https?://\S+|<[^<>\n]{1,80}>|&\w{1,10};|\\[a-zA-Z]+")
+ADDRESS_SUFFIX = r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^/@]*@)?[^/:?#\s]*\.([a-z]{2,})(?:[:/?#].*)?$"
 BINS = 1 << 17
 CLIP = 3.0
 MEMORY = 300_000
@@ -53,25 +57,28 @@ def declared_code(name: str = "lang") -> Column:
     return F.when(code.rlike("^[a-z]{2}$"), code)
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """Spans of the sentences of a text; stretches without words (rules, addresses, tags) join their neighbour."""
-    out: list[tuple[int, int]] = []
-    at = 0
+def sentences(text: str) -> list[tuple[int, int, list[str]]]:
+    """(start, end, lower-case words) of the sentences; stretches without words (rules, addresses, tags) join their neighbour."""
+    out: list[tuple[int, int, list[str]]] = []
+    at = begun = 0
     for end in [*(m.end() for m in SENTENCE_END.finditer(text)), len(text)]:
-        if end > at and WORD.search(NO_WORDS.sub(" ", text[at:end])):
-            out.append((at, end))
+        if end > at:
+            words = WORD.findall(NO_WORDS.sub(" ", text[at:end]).lower())
             at = end
-    if at < len(text) and out:
-        out[-1] = (out[-1][0], len(text))
+            if words:
+                out.append((begun, end, words))
+                begun = end
+    if begun < len(text) and out:
+        out[-1] = (out[-1][0], len(text), out[-1][2])
     elif not out and text.strip():
-        out.append((0, len(text)))
+        out.append((0, len(text), []))
     return out
 
 
 def features(word: str) -> list[int]:
     """Bins of the word itself and of its 1- to 3-grams."""
-    w = f"^{word[:40]}$"
-    grams = {w, *word[:40], *(w[i : i + 2] for i in range(len(w) - 1)), *(w[i : i + 3] for i in range(len(w) - 2))}
+    w = f"^{word}$"
+    grams = {w, *word, *(w[i : i + 2] for i in range(len(w) - 1)), *(w[i : i + 3] for i in range(len(w) - 2))}
     out = []
     for g in grams:
         h = 2166136261
@@ -88,47 +95,54 @@ class TextModel:
     languages: tuple[str, ...]
     bins: np.ndarray  # float16, BINS x languages
     declared: np.ndarray  # log P(label | language), the last column for no usable label
-    cache: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
-
-    def word(self, w: str) -> np.ndarray:
-        v = self.cache.get(w)
-        if v is None:
-            v = self.bins[features(w)].astype(np.float64).mean(axis=0) * 2
-            v = np.maximum(v - v.max(), -CLIP)
-            if len(self.cache) > MEMORY:
-                self.cache.clear()
-            self.cache[w] = v
-        return v
-
-    def sentence(self, text: str) -> np.ndarray:
-        total = np.zeros(len(self.languages))
-        for w in WORD.findall(NO_WORDS.sub(" ", text).lower()):
-            total += self.word(w)
-        return total
+    numbers: dict[str, int] = field(default_factory=dict, repr=False)
+    known: np.ndarray | None = field(default=None, repr=False)  # scores of the words seen so far, by number
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Log likelihoods of words (rows), shifted so that the best language has 0."""
+        if self.known is None or len(self.numbers) > MEMORY:
+            self.numbers, self.known = {}, np.zeros((1024, len(self.languages)))
+        for w in words:
+            if w not in self.numbers:
+                k = self.numbers[w] = len(self.numbers)
+                if k >= len(self.known):
+                    self.known = np.vstack([self.known, np.zeros_like(self.known)])
+                v = self.bins[features(w)].astype(np.float64).mean(axis=0) * 2
+                self.known[k] = np.maximum(v - v.max(), -CLIP)
+        return self.known[[self.numbers[w] for w in words]]
 
     def segments(self, text: str, declared: str | None, prior: np.ndarray, switch: float) -> list[tuple[str, float, int, int]]:
         """(language, confidence, start, end) of the maximal stretches of one language."""
         spans = sentences(text)
         if not spans:
             return []
-        n = len(self.languages)
-        first = np.log(prior) + self.declared[:, self.languages.index(declared) if declared in self.languages else n]
-        emit = np.array([self.sentence(text[a:b]) for a, b in spans])
-        stay, leave = np.log1p(-switch), np.log(switch / (n - 1))
-        move = np.full((n, n), leave)
-        np.fill_diagonal(move, stay)
-        k = len(spans)
-        best, came, ahead, behind = first + emit[0], np.zeros((k, n), int), np.zeros((k, n)), np.zeros((k, n))
-        ahead[0] = first + emit[0]
+        n, k = len(self.languages), len(spans)
+        emit = np.zeros((k, n))
+        full = [t for t in range(k) if spans[t][2]]
+        if full:
+            starts = np.cumsum([0, *(len(spans[t][2]) for t in full[:-1])])
+            emit[full] = np.add.reduceat(self.scores([w for t in full for w in spans[t][2]]), starts, axis=0)
+        emit[0] += np.log(prior) + self.declared[:, self.languages.index(declared) if declared in self.languages else n]
+        stay, leave = 1 - switch, switch / (n - 1)
+        # forward and backward with scaled probabilities, and the best path; a move costs the same between any two languages
+        chance = np.exp(emit - emit.max(axis=1, keepdims=True)) + 1e-280
+        ahead, behind = np.empty((k, n)), np.ones((k, n))
+        best, came = emit[0], np.empty((k, n), int)
+        ahead[0] = chance[0] / chance[0].sum()
+        own, log_stay, log_leave = np.arange(n), np.log(stay), np.log(leave)
         for t in range(1, k):
-            step = best[:, None] + move
-            came[t] = step.argmax(axis=0)
-            best = step.max(axis=0) + emit[t]
-            ahead[t] = np.logaddexp.reduce(ahead[t - 1][:, None] + move, axis=0) + emit[t]
+            a = chance[t] * ((stay - leave) * ahead[t - 1] + leave)
+            ahead[t] = a / a.sum()
+            top = int(best.argmax())
+            same = best + log_stay >= best[top] + log_leave
+            came[t] = np.where(same, own, top)
+            best = np.where(same, best + log_stay, best[top] + log_leave) + emit[t]
         for t in range(k - 2, -1, -1):
-            behind[t] = np.logaddexp.reduce(move + (behind[t + 1] + emit[t + 1])[None, :], axis=1)
-        both = ahead + behind
-        sure = np.exp(both - np.logaddexp.reduce(both, axis=1)[:, None])
+            b = chance[t + 1] * behind[t + 1]
+            b = (stay - leave) * b + leave * b.sum()
+            behind[t] = b / b.sum()
+        sure = ahead * behind
+        sure /= sure.sum(axis=1, keepdims=True)
         path = [int(best.argmax())]
         for t in range(k - 1, 0, -1):
             path.append(int(came[t, path[-1]]))
@@ -146,8 +160,7 @@ def fit(labelled: list[tuple[str, str]], languages: Sequence[str] = LANGUAGES, r
     languages = tuple(languages)
     n, number, ids, owner, label = len(languages), {}, [], [], []
     for text, lang in labelled:
-        for a, b in sentences(text):
-            found = WORD.findall(NO_WORDS.sub(" ", text[a:b]).lower())
+        for _, _, found in sentences(text):
             if found:
                 ids += [number.setdefault(w, len(number)) for w in found]
                 owner += [len(label)] * len(found)
@@ -181,17 +194,24 @@ def assign_languages(
     languages = tuple(languages)
     rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), F.col(host).alias("host"), declared_code(declared).alias("declared"))
     usable = F.col("declared").isin(*languages) & F.col("text").isNotNull()
-    order = F.xxhash64("doc_id", F.length("text"))
-    sample = rows.where(usable).select(order.alias("o"), F.left("text", F.lit(fit_chars)).alias("text"), "declared").orderBy("o", "text").limit(fit_rows)
-    model = fit([(r["text"], r["declared"]) for r in sample.collect()], languages)
+    labelled = rows.where(usable)
+    n = labelled.count()
+    mark = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 40))
+    part = F.substr("text", (F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - fit_chars, F.lit(0)) + 1) + 1).cast("int"), F.lit(fit_chars))
+    sample = labelled.where(mark < int((1 << 40) * min(1.0, fit_rows / max(n, 1)))).select(part.alias("text"), "declared").limit(2 * fit_rows)  # the limit bounds rows that share an id
+    model = fit(sorted((r["text"], r["declared"]) for r in sample.collect()), languages)
 
     counts = [F.count_if(F.col("declared") == x).alias(f"n{i}") for i, x in enumerate(languages)]
-    by_host = cut(rows.groupBy("host").agg(*counts))
+    suffix = F.nullif(F.regexp_extract(F.lower("host"), ADDRESS_SUFFIX, 1), F.lit(""))
+    by_host = cut(rows.groupBy("host").agg(*counts).withColumn("suffix", suffix))
     whole = [x or 0 for x in by_host.agg(*[F.sum(f"n{i}") for i in range(len(languages))]).first()]
     total = sum(whole) or 1
     base = [(c + 1) / (total + len(languages)) for c in whole]
-    n_host = sum((F.col(f"n{i}") for i in range(len(languages))), F.lit(0))
-    prior = F.array(*[(F.col(f"n{i}") + weight * b) / (n_host + weight) for i, b in enumerate(base)]).alias("prior")
+    of_suffix = by_host.where(F.col("suffix").isNotNull()).groupBy("suffix").agg(*[F.sum(f"n{i}").alias(f"s{i}") for i in range(len(languages))])
+    n_host, n_suffix = (sum((F.coalesce(F.col(f"{x}{i}"), F.lit(0)) for i in range(len(languages))), F.lit(0)) for x in "ns")
+    above = [(F.coalesce(F.col(f"s{i}"), F.lit(0)) + weight * b) / (n_suffix + weight) for i, b in enumerate(base)]
+    prior = F.array(*[(F.col(f"n{i}") + weight * a) / (n_host + weight) for i, a in enumerate(above)]).alias("prior")
+    by_host = by_host.join(of_suffix, "suffix", "left")
     known = by_host.where(F.col("host").isNotNull())
     told = spread(rows.where(F.col("text").isNotNull() & (F.length(F.trim("text")) > 0)))
     if known.count() <= broadcast_hosts:  # at most 1 MB

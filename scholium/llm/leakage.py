@@ -1,13 +1,14 @@
 """Evaluation passages leaking into documents (problem 8).
 
-One Aho-Corasick automaton holds every run of ``seed`` normalised words of the test passages (and, if
-asked, of the test questions). Each document is normalised once, with the offset of every word in the
-original, and scanned once; hits say which item words may start where. Hits of an item that gather on
-neighbouring diagonals are settled by a local alignment over words, so altered, added and lost words do
-not end a stretch. A document holds an item if the aligned stretch has at least ``share`` of its words.
+One Aho-Corasick automaton holds every normalised test text (questions and passages alike) and every run of
+``seed`` words of them. A document is normalised by one substitution and scanned once; offsets lead back to the
+original. A hit of a whole text settles it. The other hits say which item words may start where: hits of an item
+that gather on neighbouring diagonals are settled by a local alignment over words, so altered, added and lost
+words do not end a stretch, nor does an interruption of at most as many words as the item has. A document holds
+an item if the aligned stretch has at least ``share`` of its words; each stretch that does is a row.
 
-The automaton travels to the tasks, so its source is bounded: items are cut into blocks of at most
-``block_items`` by a hash of their id and each block is one scan, whatever the number of items.
+The automaton travels to the tasks, so its source is bounded: items are cut into blocks of about
+``block_items`` by a hash of their id, and the documents are scanned once for each block.
 
 Defined results: null, empty and blank documents or items give no rows; an item shorter than the seed
 is sought as its whole. Repeated documents are reported each, items of equal text each. Very long texts
@@ -17,7 +18,8 @@ are scanned whole.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -29,6 +31,8 @@ from scholium.session import spread
 
 # a word, or markup that holds none: tags, entities, commands
 WORD = re.compile(r"</?[a-zA-Z][^<>]{0,80}>|&#?[a-zA-Z0-9]{1,8};|\\[a-zA-Z]+|([^\W_]+)")
+# what stands between words, markup included
+BETWEEN = re.compile(r"(?:</?[a-zA-Z][^<>]{0,80}>|&#?[a-zA-Z0-9]{1,8};|\\[a-zA-Z]+|[\W_])+")
 
 
 def words_of(text: str) -> list[str]:
@@ -36,7 +40,7 @@ def words_of(text: str) -> list[str]:
 
 
 class Scanner:
-    """The automaton over one block of items."""
+    """The automaton over one block of items: (key, text) pairs."""
 
     def __init__(self, items: list[tuple[object, str]], seed: int, share: float):
         import ahocorasick
@@ -51,6 +55,8 @@ class Scanner:
             n = min(seed, len(words))
             for k in range(len(words) - n + 1):
                 places[" " + " ".join(words[k : k + n]) + " "].append((item, k, n))
+            if len(words) > n:
+                places[" " + " ".join(words) + " "].append((item, 0, len(words)))
         self.automaton = ahocorasick.Automaton()
         for pattern, found in places.items():
             self.automaton.add_word(pattern, found)
@@ -60,31 +66,45 @@ class Scanner:
             self.automaton = None
 
     def scan(self, text: str) -> list[tuple[object, int, float, int, int]]:
-        """(item, matched words, share of the item's words, start and end in the original text)."""
+        """(item, matched words, share of the item's words, start and end in the original text), by item and place."""
         if self.automaton is None:
             return []
-        lowered = text.lower()
-        spans = [m.span(1) for m in WORD.finditer(lowered if len(lowered) == len(text) else text) if m.group(1)]
-        words = [lowered[a:b] if len(lowered) == len(text) else text[a:b].lower() for a, b in spans]
-        if not words:
+        plain = " " + BETWEEN.sub(" ", text.lower()).strip() + " "
+        raw = list(self.automaton.iter(plain))
+        if not raw:
             return []
-        ends, at = {}, 0  # position of the blank behind a word -> number of the word
-        for k, w in enumerate(words):
-            at += len(w) + 1
-            ends[at] = k
+        gaps = [m.start() for m in re.finditer(" ", plain)]  # the k-th word stands behind the k-th blank
         hits: dict[object, list[tuple[int, int]]] = defaultdict(list)
-        for end, found in self.automaton.iter(" " + " ".join(words) + " "):
-            last = ends[end]
+        whole: dict[object, list[int]] = defaultdict(list)
+        for end, found in raw:
+            behind = bisect_left(gaps, end)
             for item, k, n in found:
-                hits[item].append((last - n + 1, k))
+                if n == len(self.words[item]):
+                    whole[item].append(behind - n)
+                else:
+                    hits[item].append((behind - n, k))
+        spans: list[tuple[int, int]] = []
+        words = plain.split()
         out = []
-        for item, pairs in hits.items():
+        for item in {**whole, **hits}:
             own = self.words[item]
-            for lo, hi in self._regions(pairs, len(own)):
+            n = len(own)
+            found = [(n, p, p + n) for p in whole.get(item, ())]
+            # hits inside a whole text are settled by it
+            rest = [(p, k) for p, k in hits.get(item, ()) if not any(a <= p < b for _, a, b in found)]
+            open_ = self._regions(rest, n)
+            while open_:
+                lo, hi = open_.pop()
                 matched, a, b = align(own, words[lo:hi])
-                if matched >= self.share * len(own):
-                    out.append((item, matched, matched / len(own), spans[lo + a][0], spans[lo + b - 1][1]))
-                    break
+                if matched >= self.share * n:
+                    if not any(lo + a < y and x < lo + b for _, x, y in found):
+                        found.append((matched, lo + a, lo + b))
+                    # what is left on both sides may hold the item again
+                    open_ += [(x, y) for x, y in ((lo, lo + a), (lo + b, min(hi, len(words)))) if y - x >= self.share * n]
+            if found and not spans:
+                lowered = text.lower()
+                spans = [m.span(1) for m in WORD.finditer(lowered if len(lowered) == len(text) else text) if m.group(1)]
+            out += [(item, m, m / n, spans[a][0], spans[min(b, len(spans)) - 1][1]) for m, a, b in sorted(found, key=lambda x: x[1])]
         return out
 
     def _regions(self, pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
@@ -150,23 +170,31 @@ def align(a: list[str], b: list[str]) -> tuple[int, int, int]:
 def find_leaks(
     docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, passages: list[str], seed: int = 3, share: float = 0.5, block_items: int = 20_000
 ) -> DataFrame:
-    """doc_id, item_id, passage, matched, share, start_pos, end_pos: every document with each item it contains."""
-    total = items.count()
+    """doc_id, item_id, passage, stretch, matched, share, start_pos, end_pos: every stretch of a document that holds an item.
+
+    Stretches of one item in one document are numbered from 0 by place, so stretch 0 stands for (document, item, passage).
+    """
+    total = items.count() * len(passages)
     blocks = max(1, -(-total // (block_items // 2)))
     rows = spread(docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.length(F.trim("text")) > 0)))
     doc_kind, item_kind = dict(docs.dtypes)[doc], dict(items.dtypes)[item]
-    schema = f"doc_id {doc_kind}, item_id {item_kind}, passage string, matched int, share double, start_pos int, end_pos int"
+    names = ["doc_id", "item_id", "passage", "stretch", "matched", "share", "start_pos", "end_pos"]
 
-    def one(passage: str, block: int) -> DataFrame:
-        mine = items.where(F.col(passage).isNotNull() & (F.pmod(F.xxhash64(item), F.lit(blocks)) == block)).select(item, passage)
-        listed = [tuple(r) for r in mine.collect()]  # at most about block_items rows
+    def one(block: int) -> DataFrame:
+        mine = items.where(F.pmod(F.xxhash64(item), F.lit(blocks)) == block).select(item, *passages)
+        listed = [((r[0], p), t) for r in mine.collect() for p, t in zip(passages, r[1:], strict=True) if t is not None]  # about block_items at most
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             scanner = Scanner(listed, seed, share)
             for pdf in batches:
-                out = [(d, i, passage, m, s, a, b) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for i, m, s, a, b in scanner.scan(t)]
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "passage", "matched", "share", "start_pos", "end_pos"]).astype({"matched": "int32", "share": "float64", "start_pos": "int32", "end_pos": "int32"})
+                out = []
+                for d, t in zip(pdf["doc_id"], pdf["text"], strict=True):
+                    count: Counter[object] = Counter()
+                    for key, *found in scanner.scan(t):
+                        out.append((d, *key, count[key], *found))
+                        count[key] += 1
+                yield pd.DataFrame(out, columns=names).astype({"stretch": "int32", "matched": "int32", "share": "float64", "start_pos": "int32", "end_pos": "int32"})
 
-        return rows.mapInPandas(run, schema)
+        return rows.mapInPandas(run, f"doc_id {doc_kind}, item_id {item_kind}, passage string, stretch int, matched int, share double, start_pos int, end_pos int")
 
-    return reduce(DataFrame.unionByName, [one(p, b) for p in passages for b in range(blocks)])
+    return reduce(DataFrame.unionByName, [one(b) for b in range(blocks)])

@@ -32,8 +32,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    types = text_types(table(spark, sf_dir, "extractions"), "extraction_id", "text")
-    return types.select(F.col("id").alias("extraction_id"), "text_type", *[F.round(c, 4).alias(c) for c in ("p_prose", "p_list", "p_table", "p_junk")])
+    """Type, posterior shares and statistics of every text that is not blank."""
+    types = text_types(table(spark, sf_dir, "extractions"), "extraction_id", "text", "page_count")
+    shares = [c for c in types.columns if c not in ("id", "text_type", "text_hash", "word_count")]
+    return types.select(F.col("id").alias("extraction_id"), "text_type", "word_count", *[F.round(c, 4).alias(c) for c in shares])
 
 
 def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,13 +93,13 @@ def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_examples"), "item_id", ["text"])
-    return leaks.select("doc_id", "item_id")
+    return leaks.where("stretch = 0").select("doc_id", "item_id")
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per test item: documents that hold its passage or its question."""
     leaks = find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_examples"), "item_id", ["text", "query"])
-    return leaks.groupBy("item_id", "passage").agg(F.count(F.lit(1)).alias("documents"), F.round(F.max("share"), 6).alias("largest_share"))
+    return leaks.groupBy("item_id", "passage").agg(F.count_if(F.col("stretch") == 0).alias("documents"), F.count(F.lit(1)).alias("stretches"), F.round(F.max("share"), 6).alias("largest_share"))
 
 
 def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
