@@ -57,6 +57,7 @@ class Scanner:
                 places[" " + " ".join(words[k : k + n]) + " "].append((item, k, n))
             if len(words) > n:
                 places[" " + " ".join(words) + " "].append((item, 0, len(words)))
+        self.fewest = {item: self._fewest(len(words)) for item, words in self.words.items()}
         self.automaton = ahocorasick.Automaton()
         for pattern, found in places.items():
             self.automaton.add_word(pattern, found)
@@ -65,6 +66,10 @@ class Scanner:
         else:
             self.automaton = None
 
+    def _fewest(self, n: int) -> float:
+        """A matched half of n words still has this many unbroken seeds with every tenth word altered."""
+        return max(1.0, min(self.share, 0.5) * 0.4 * n - 2)
+
     def scan(self, text: str) -> list[tuple[object, int, float, int, int]]:
         """(item, matched words, share of the item's words, start and end in the original text), by item and place."""
         if self.automaton is None:
@@ -73,25 +78,24 @@ class Scanner:
         raw = list(self.automaton.iter(plain))
         if not raw:
             return []
-        gaps = [m.start() for m in re.finditer(" ", plain)]  # the k-th word stands behind the k-th blank
-        hits: dict[object, list[tuple[int, int]]] = defaultdict(list)
-        whole: dict[object, list[int]] = defaultdict(list)
+        hits: dict[object, list[tuple[int, int, int]]] = defaultdict(list)
         for end, found in raw:
-            behind = bisect_left(gaps, end)
             for item, k, n in found:
-                if n == len(self.words[item]):
-                    whole[item].append(behind - n)
-                else:
-                    hits[item].append((behind - n, k))
+                hits[item].append((end, k, n))
+        # an item that could reach its share has this many hits, or one of its whole text
+        hits = {x: h for x, h in hits.items() if len(h) >= self.fewest[x] or any(n == len(self.words[x]) for _, _, n in h)}
+        if not hits:
+            return []
+        gaps = [m.start() for m in re.finditer(" ", plain)]  # the k-th word stands behind the k-th blank
         spans: list[tuple[int, int]] = []
         words = plain.split()
         out = []
-        for item in {**whole, **hits}:
+        for item, own_hits in hits.items():
             own = self.words[item]
             n = len(own)
-            found = [(n, p, p + n) for p in whole.get(item, ())]
+            found = [(n, p, p + n) for end, _, m in own_hits if m == n for p in (bisect_left(gaps, end) - n,)]
             # hits inside a whole text are settled by it
-            rest = [(p, k) for p, k in hits.get(item, ()) if not any(a <= p < b for _, a, b in found)]
+            rest = [(p, k) for end, k, m in own_hits if m < n for p in (bisect_left(gaps, end) - m,) if not any(a <= p < b for _, a, b in found)]
             open_ = self._regions(rest, n)
             while open_:
                 lo, hi = open_.pop()
@@ -116,8 +120,7 @@ class Scanner:
             bands[band].append((p, k))
             bands[band + 1].append((p, k))
         enough = [(len({k for _, k in own}), min(p - k for p, k in own)) for own in bands.values()]
-        least = min(self.share, 0.5) * 0.4 * n - 2  # a matched half still has this many unbroken seeds with every tenth word altered
-        starts = sorted({d for c, d in enough if c >= max(1, least)})
+        starts = sorted({d for c, d in enough if c >= self._fewest(n)})
         merged: list[list[int]] = []
         for d in starts:
             lo, hi = max(0, d - n // 2), d + 2 * n + width
