@@ -16,14 +16,18 @@ from scholium.llm.tokenizing import encode_corpus
 from scholium.session import table
 
 
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of all authors; the author lists of papers that were harvested more than once teach nicknames."""
+    lists = table(spark, sf_dir, "arxiv_papers").select(F.col("arxiv_id").alias("grp"), F.col("authors").alias("names"))
+    return link_names(table(spark, sf_dir, "authors"), "author_id", "full_name", lists)
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = entity_pairs(link_names(table(spark, sf_dir, "authors"), "author_id", "full_name"))
-    return pairs.select(F.col("id_a").alias("author_id_a"), F.col("id_b").alias("author_id_b"))
+    return entity_pairs(_linked(spark, sf_dir)).select(F.col("id_a").alias("author_id_a"), F.col("id_b").alias("author_id_b"))
 
 
 def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = link_names(table(spark, sf_dir, "authors"), "author_id", "full_name")
-    return linked.select(F.col("id").alias("author_id"), "entity")
+    return _linked(spark, sf_dir).select(F.col("id").alias("author_id"), "entity")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,47 @@ def test_metric_join_by_brute_force(spark):
     assert rows(names.metric_neighbours(df)) == want and len(want) > 30
 
 
+def test_wider_radius_and_other_scripts(spark):
+    rng = random.Random(12)
+    keys = {"".join(rng.choice("абвгдежзиклмно") for _ in range(rng.randrange(4, 8))) for _ in range(60)} | {"".join(rng.choice("李王張劉陳楊趙黃周吳") for _ in range(4)) for _ in range(40)}
+    for k in list(keys):
+        if rng.random() < 0.5:
+            keys.add(k[:2] + k[3:])
+    df = spark.createDataFrame([("g", k) for k in keys], "grp string, key string")
+    for radius in (1, 2):
+        want = sorted(("g", *sorted(p)) for p in combinations(keys, 2) if names.damerau(*p, radius) <= radius)
+        assert rows(names.metric_neighbours(df, radius)) == want and len(want) > 20
+    many = ["".join(rng.choice("абвгдежзийклмнопрстуфхцчшщ") for _ in range(8)) for _ in range(2000)]
+    cells = spark.createDataFrame([(k,) for k in many], "key string").groupBy(names.letter_classes("key").alias("c")).count()
+    assert cells.agg(F.max("count")).first()[0] < 20
+
+
+def test_all_words_of_organisations_and_middle_names(spark):
+    orgs = ["Vamod Genome Alpha Collaboration", "The Vamod Genome Alpha Collab.", "Vamod Genome Beta Collaboration", "Vamod Genome Collaboration"]
+    people = [f"{g} {m} Tekorim" for g in ("Margaret", "Matthias") for m in ("Michael", "Mark", "M.")]
+    got = linked(spark, [*BASE, *orgs, *people])
+    assert frozenset(orgs[:2]) in got and frozenset(orgs[2:3]) in got and frozenset(orgs[3:]) in got
+    assert all(frozenset({n}) in got for n in people)
+    assert frozenset({"Karthik Mark Ubel", "Karthik M. Ubel"}) in linked(spark, [*BASE, "Karthik Mark Ubel", "Karthik M. Ubel"])
+
+
+def test_nicknames_are_learned_from_repeated_lists(spark):
+    spelled = [*BASE, *[f"Wendeline {m}. {f}" for m, f in (("A", "Brenolak"), ("B", "Stuvigor"), ("C", "Wulimant"))], "Wenni Abelu", "Wendeline Abelu", "Wenni Oskar", "Wendeline Oskar", "Wendelne Oskar"]
+    df = spark.createDataFrame(list(enumerate(spelled)), "id long, name string")
+    lists = [("p1", ["X Y", "Wenni Brenolak"]), ("p1", ["X Y", "Wendeline A. Brenolak", None]), ("p1", ["X Y", "Wendeline A. Brenolak"]), ("p2", None), (None, ["a b"]), ("p2", ["Wendeline Abelu"]), ("p2", ["Karthik Oskar"])]
+    taught = spark.createDataFrame(lists, "grp string, names array<string>")
+    together = lambda **how: {frozenset(g) for g in _groups(names.link_names(df, "id", "name", **how), spelled) if any("Wenni" in n for n in g)}
+    assert together(lists=taught, nicknames={}) == {frozenset({"Wenni Abelu", "Wendeline Abelu"}), frozenset({"Wenni Oskar", "Wendeline Oskar", "Wendelne Oskar"})}
+    assert together(nicknames={}) == {frozenset({"Wenni Abelu"}), frozenset({"Wenni Oskar"})}
+
+
+def _groups(found, spelled):
+    out = {}
+    for r in found.collect():
+        out.setdefault(r["entity"], set()).add(spelled[r["id"]])
+    return list(out.values())
+
+
 # ---- near duplicates --------------------------------------------------------------------------
 def test_near_duplicates_by_brute_force(spark):
     rng = random.Random(1)
