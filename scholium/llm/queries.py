@@ -42,6 +42,12 @@ def p2_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return types.select(F.col("id").alias("extraction_id"), "text_type", "word_count", *[F.round(c, 4).alias(c) for c in shares])
 
 
+def p2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of every text that is not blank."""
+    types = text_types(table(spark, sf_dir, "extractions"), "extraction_id", "text", "page_count")
+    return types.select(F.col("id").alias("extraction_id"), "word_count", *[F.round(c, 6).alias(c) for c in ("chars_per_page", "alpha_ratio", "mean_word_length", "replacement_char_ratio", "ended_lines")])
+
+
 def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     extractions = table(spark, sf_dir, "extractions")
     rows = prose_rows(extractions, "extraction_id", "text", text_types(extractions, "extraction_id", "text"))
@@ -91,8 +97,8 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", check=True)
-    return rows.groupBy("round_trip").agg(F.count(F.lit(1)).alias("texts"))
+    """Whether each text comes back whole from its ids."""
+    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", check=True).select("doc_id", "round_trip")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,5 +122,33 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where((F.col("segments") > 1) | ~F.col("declared_right")).select("doc_id", "seg_no", "lang")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_types, p6_found, p6_repaired, p3_found, p3_classes, p4_found, p4_bisect, p7_ids, p7_round_trip, p8_found, p8_report, p9_found, p9_segments)}
-SQL = {"p7_round_trip": "SELECT true AS round_trip, count(*) AS texts FROM documents"}
+QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_types, p2_statistics, p6_found, p6_repaired, p3_found, p3_classes, p4_found, p4_bisect, p7_ids, p7_round_trip, p8_found, p8_report, p9_found, p9_segments)}
+
+_BLANK = "[\\s\\p{Z}\\x{85}\\x{0b}\\x{1c}-\\x{1f}]"
+_SOLID = "[^\\s\\p{Z}\\x{85}\\x{0b}\\x{1c}-\\x{1f}]"
+
+SQL = {
+    "p7_round_trip": "SELECT doc_id, true AS round_trip FROM documents",
+    # the definitions of the statistics, over the whole text
+    "p2_statistics": f"""WITH m AS (SELECT extraction_id, page_count AS p, length(regexp_replace(text, '{_BLANK}', '', 'g')) AS dense, len(regexp_extract_all(text, '{_SOLID}+')) AS tokens, length(text) AS size,
+  length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS letters, length(text) - length(replace(text, chr(65533), '')) AS bad,
+  list_filter(regexp_split_to_array(text, '[\\n\\f]'), lambda x: regexp_matches(x, '{_SOLID}')) AS lines FROM extractions WHERE regexp_matches(text, '{_SOLID}'))
+SELECT extraction_id, tokens AS word_count, CASE WHEN p >= 1 THEN round(dense / p::DOUBLE, 6) END AS chars_per_page, round(letters / dense::DOUBLE, 6) AS alpha_ratio, round(dense / tokens::DOUBLE, 6) AS mean_word_length,
+  round(bad / size::DOUBLE, 6) AS replacement_char_ratio, round(len(list_filter(lines, lambda x: regexp_matches(x, '[.!?。！？]["\u2019\u201d»)\\]'']*{_BLANK}*$'))) / len(lines)::DOUBLE, 6) AS ended_lines FROM m""",
+    # every pair of word sets, by the definition
+    "p3_found": """WITH c AS (SELECT chunk_id, list_distinct(regexp_extract_all(lower(max(text)), '[\\p{L}\\p{N}]+')) AS w FROM retrieved_chunks WHERE text IS NOT NULL AND chunk_id IS NOT NULL GROUP BY chunk_id),
+s AS MATERIALIZED (SELECT chunk_id, list_transform(w, lambda x: hash(x)) AS w, len(w) AS n FROM c WHERE len(w) > 0)
+SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b FROM s a JOIN s b ON a.chunk_id < b.chunk_id AND b.n BETWEEN 0.8 * a.n AND a.n / 0.8
+WHERE len(list_intersect(a.w, b.w)) >= 0.8::DOUBLE * (a.n + b.n - len(list_intersect(a.w, b.w))) - 1e-9""",
+    # the forward cut, character by character
+    "p4_found": """WITH RECURSIVE t AS (SELECT 'sections' AS source_table, section_id AS item_id, text FROM sections WHERE length(text) > 1200 UNION ALL SELECT 'extractions', extraction_id, text FROM extractions WHERE length(text) > 1200),
+c AS MATERIALIZED (SELECT source_table, item_id, unnest(string_split(text, '')) AS ch, unnest(range(0, length(text))) AS i FROM t),
+r AS (SELECT *, i - row_number() OVER (PARTITION BY source_table, item_id ORDER BY i) AS g FROM c WHERE ch IN (' ', chr(9), chr(10), chr(12), chr(13))),
+b AS (SELECT source_table, item_id, max(i) + 1 AS e, min(i) - 1 AS i, count(*) FILTER (ch = chr(10)) AS feeds, bool_or(ch = chr(12)) AS page FROM r GROUP BY source_table, item_id, g),
+k AS MATERIALIZED (SELECT source_table, item_id, e, CASE WHEN page OR feeds >= 2 THEN 0 WHEN ch IN ('.', '!', '?') THEN 1 ELSE 2 END AS kind FROM b LEFT JOIN c USING (source_table, item_id, i)),
+p AS (SELECT source_table, item_id, length(text)::BIGINT AS n, -1::BIGINT AS piece_no, 0::BIGINT AS s, 0::BIGINT AS e, 0::BIGINT AS next FROM t
+ UNION ALL SELECT source_table, item_id, n, piece_no + 1, s, e, CASE WHEN e < n THEN e - 120 END
+ FROM (SELECT p.source_table, p.item_id, p.n, p.piece_no, p.next AS s, CASE WHEN p.n - p.next <= 1200 THEN p.n ELSE coalesce(arg_min(k.e, (k.kind, -k.e)), p.next + 1200) END AS e
+  FROM p LEFT JOIN k ON k.source_table = p.source_table AND k.item_id = p.item_id AND k.e > p.next + 600 AND k.e <= p.next + 1200 WHERE p.next IS NOT NULL GROUP BY p.source_table, p.item_id, p.n, p.piece_no, p.next))
+SELECT source_table, item_id, CAST(piece_no AS INTEGER) AS piece_no, CAST(s AS INTEGER) AS start_pos, CAST(e AS INTEGER) AS end_pos FROM p WHERE piece_no >= 0""",
+}

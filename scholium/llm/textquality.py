@@ -56,8 +56,8 @@ def fold_ascii(word: str) -> str:
 
 
 # what a token says, the same wherever it stands: words, letters, common words, capitalised words, then 1 or 0 for a
-# number, an odd inside, the end of a sentence, a single character; and the folded words
-Facts = tuple[int, int, int, int, int, int, int, int, tuple[str, ...]]
+# number, an odd inside, the end of a sentence, a single character; the folded words; and plain letters without marks
+Facts = tuple[int, int, int, int, int, int, int, int, tuple[str, ...], int]
 
 
 def facts(token: str) -> Facts:
@@ -65,7 +65,7 @@ def facts(token: str) -> Facts:
     lower = tuple(w.lower() if w.isascii() else fold_ascii(w.lower()) for w in words)
     return (
         len(words), sum(map(len, words)), sum(w in COMMON for w in lower), sum(w[:1].isupper() for w in words), int(NUMBER.match(token) is not None), int(ODD_INSIDE.search(token) is not None),
-        int(END.search(token) is not None), int(len(token) == 1), lower,
+        int(END.search(token) is not None), int(len(token) == 1), lower, sum(map(str.isalpha, token)),
     )
 
 
@@ -97,12 +97,13 @@ class Reader:
         tokens = block.split()
         n, dense = len(tokens), sum(map(len, tokens))
         often = Counter(tokens)
-        words = letters = usual = capitals = numbers = odds = stops = single = 0
+        words = letters = usual = capitals = numbers = odds = stops = single = bare = 0
         kinds: set[str] = set()
         for t, k in often.items():
-            w, a, c, u, m, o, e, s, lower = self.of(t)
+            w, a, c, u, m, o, e, s, lower, x = self.of(t)
             words, letters, usual, capitals = words + k * w, letters + k * a, usual + k * c, capitals + k * u
             numbers, odds, stops, single = numbers + k * m, odds + k * o, stops + k * e, single + k * s
+                bare += k * x
             kinds.update(lower)
         wide = len(WIDE.findall(block)) if not block.isascii() else 0
         alpha, is_wide = letters / dense, wide > 0.3 * dense
@@ -135,7 +136,7 @@ class Reader:
             J if alpha < 0.45 and numeric < 0.2 and not is_wide else P if alpha > 0.85 and common >= 0.1 or is_wide and stops else -1,
             J if gaps > 0.5 and n >= 8 else -1,
         )
-        return vote, [n, dense, letters, words, usual, len(lines), ended]
+        return vote, [n, dense, bare, words, usual, len(lines), ended]
 
 
 COUNTS = ("tokens", "dense", "letters", "words", "usual", "lines", "ended")
