@@ -25,6 +25,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scholium.session import stored
+
 
 def squeeze(name: str) -> Column:
     """A text without its white space, so that texts differing only in white space are equal."""
@@ -46,7 +48,8 @@ def build_store(
 
     compare: per attribute the expression that decides whether two values are equal (default: itself).
     """
-    return _with_block_ends(_changes(records, key, at, attributes, rank, required, compare, every, bucket), key)
+    # stored before its block ends are joined to it, so the changes are found once
+    return _with_block_ends(stored(_changes(records, key, at, attributes, rank, required, compare, every, bucket)), key)
 
 
 def _changes(records: DataFrame, key: str, at: str, attributes: Sequence[str], rank: Sequence[str], required: Sequence[str], compare: Mapping[str, Column] | None, every: int, bucket: str = "month", base: DataFrame | None = None) -> DataFrame:
