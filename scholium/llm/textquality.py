@@ -103,7 +103,7 @@ class Reader:
             w, a, c, u, m, o, e, s, lower, x = self.of(t)
             words, letters, usual, capitals = words + k * w, letters + k * a, usual + k * c, capitals + k * u
             numbers, odds, stops, single = numbers + k * m, odds + k * o, stops + k * e, single + k * s
-                bare += k * x
+            bare += k * x
             kinds.update(lower)
         wide = len(WIDE.findall(block)) if not block.isascii() else 0
         alpha, is_wide = letters / dense, wide > 0.3 * dense
