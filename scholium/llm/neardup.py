@@ -142,7 +142,7 @@ def align_banded(a: np.ndarray, b: np.ndarray, band: int = 32) -> float:
     return 1 - min(int(row[m]), max(n, m)) / max(n, m)
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8, count: int = 32, sample: int = 3, k: int = 1, edit: bool = False) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8, count: int = 40, sample: int = 4, k: int = 1, edit: bool = False) -> tuple[DataFrame, DataFrame]:
     """(members, links): members has id and class_id; links has class_a < class_b of different classes and jaccard.
 
     edit: links also have edit_similarity, from the banded alignment of the canonical word sequences.
