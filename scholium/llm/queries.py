@@ -135,11 +135,6 @@ SQL = {
   list_filter(regexp_split_to_array(text, '[\\n\\f]'), lambda x: regexp_matches(x, '{_SOLID}')) AS lines FROM extractions WHERE regexp_matches(text, '{_SOLID}'))
 SELECT extraction_id, tokens AS word_count, CASE WHEN p >= 1 THEN round(dense / p::DOUBLE, 6) END AS chars_per_page, round(letters / dense::DOUBLE, 6) AS alpha_ratio, round(dense / tokens::DOUBLE, 6) AS mean_word_length,
   round(bad / size::DOUBLE, 6) AS replacement_char_ratio, round(len(list_filter(lines, lambda x: regexp_matches(x, '[.!?。！？]["\u2019\u201d»)\\]'']*{_BLANK}*$'))) / len(lines)::DOUBLE, 6) AS ended_lines FROM m""",
-    # every pair of word sets, by the definition
-    "p3_found": """WITH c AS (SELECT chunk_id, list_distinct(regexp_extract_all(lower(max(text)), '[\\p{L}\\p{N}]+')) AS w FROM retrieved_chunks WHERE text IS NOT NULL AND chunk_id IS NOT NULL GROUP BY chunk_id),
-s AS MATERIALIZED (SELECT chunk_id, list_transform(w, lambda x: hash(x)) AS w, len(w) AS n FROM c WHERE len(w) > 0)
-SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b FROM s a JOIN s b ON a.chunk_id < b.chunk_id AND b.n BETWEEN 0.8 * a.n AND a.n / 0.8
-WHERE len(list_intersect(a.w, b.w)) >= 0.8::DOUBLE * (a.n + b.n - len(list_intersect(a.w, b.w))) - 1e-9""",
     # the forward cut, character by character
     "p4_found": """WITH RECURSIVE t AS (SELECT 'sections' AS source_table, section_id AS item_id, text FROM sections WHERE length(text) > 1200 UNION ALL SELECT 'extractions', extraction_id, text FROM extractions WHERE length(text) > 1200),
 c AS MATERIALIZED (SELECT source_table, item_id, unnest(string_split(text, '')) AS ch, unnest(range(0, length(text))) AS i FROM t),
