@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from scholium.functions import models
 from scholium.functions import text as T
 from scholium.functions.analysis import porter
-from scholium.operators import chunking, context, evaluation, history, retrieval, state
+from scholium.operators import answering, chunking, context, evaluation, history, retrieval, state
 from scholium.session import release
 from scholium.settings import Settings
 from scholium.sources import arxiv, feeds
@@ -548,6 +548,55 @@ def test_search_modes(spark):
         retrieval.search(chunks, ask, retrieval.Search("odd"))
 
 
+def test_gathered_context(spark):
+    texts = {"a1": "Moss grows on granite in the shade.", "a2": "Granite walls carry moss and lichen.", "b1": "Trains leave at noon.", "c1": None}
+    rows_ = [(c, c[0], 1, f"Title {c[0]}", ["Ada"], "2020-01-01", "Intro", None, t) for c, t in texts.items()]
+    chunks = spark.createDataFrame(rows_, "chunk_id string, arxiv_id string, version int, title string, authors array<string>, published_at string, section string, subsection string, text string")
+    chunks = models.embed(chunks, "text", models.get_provider())
+    ask = models.embed(spark.createDataFrame([("q", "moss on granite"), ("void", None)], "query_id string, query string"), "query", models.get_provider(), queries=True)
+
+    class ByLength:
+        def warmup(self):
+            pass
+
+        def score(self, queries, texts):
+            return [-len(t) for t in texts]
+
+    how = retrieval.Search("keyword", k=2)
+    _, told = answering.gather(chunks, ask, how)
+    got = {r["query_id"]: r for r in told.collect()}
+    assert got["q"]["supplied"] == ["P1"] and got["q"]["context"].count("[P1] Title a (Ada, 2020) — Intro") == 2 and got["void"]["context"] is None and not got["q"]["truncated"]
+    packed, _ = answering.gather(chunks, ask, how, ByLength())
+    assert [r["chunk_id"] for r in packed.orderBy("rank").collect()] == ["a1", "a2"]
+    _, tight = answering.gather(chunks, ask, how, budget=30)
+    assert tight.where("query_id = 'q'").first()["truncated"]
+    replies = spark.createDataFrame([("q", "Moss [P1].", "stop")], "query_id string, text string, finish_reason string")
+    assert rows(context.answers(told, replies).select("query_id", "refusal_reason", F.array_join("used", ","))) == [("q", None, "P1")]
+
+
+def test_result_rows(spark):
+    hits = spark.createDataFrame([("q", "a", 2.5, 1), ("q", "b", None, 2), ("r", "c", 1.0, 1)], "query_id string, chunk_id string, score double, rank int")
+    made = {r["chunk_id"]: (r["score"], [tuple(c) for c in r["contributions"]]) for r in retrieval.hit_rows(hits, "keyword").collect()}
+    assert made["b"] == (0.0, [("keyword", 2, 0.0)]) and made["a"][0] == 2.5
+    assert rows(retrieval.result_summary(hits.where("query_id = 'q' AND rank = 1"), hits, "hybrid").select("query_id", "summary")) == [("q", "hybrid: 1 of 2 candidates"), ("r", "hybrid: 0 of 1 candidates")]
+    kept = retrieval.rerank(hits, "score", 5)
+    assert {r["query_id"]: (r["applied"], r["reason"]) for r in kept.collect()} == {"q": (False, "missing_scores"), "r": (True, None)}
+    assert retrieval.rerank(hits, "score", 5, enabled=False).select("reason").distinct().first()[0] == "disabled"
+
+
+def test_operators_take_empty_tables(spark):
+    lists = spark.createDataFrame([], "query_id string, chunk_id string, li int, retriever string, rank int, score double, arxiv_id string, text string")
+    assert retrieval.reciprocal_rank(lists).count() == retrieval.weighted(lists, [0.5, 0.5]).count() == retrieval.drop_alike(lists).count() == retrieval.cap_per_paper(lists, "arxiv_id").count() == 0
+    docs = spark.createDataFrame([], "d string, t string, e array<double>")
+    asked = spark.createDataFrame([("q", "x", [1.0])], "q string, s string, v array<double>")
+    words = {"t": (T.word_runs(F.col("t")), 1.0)}
+    assert retrieval.bm25(docs, "d", words, asked, "q", {"t": T.word_runs(F.col("s"))}).count() == retrieval.nearest(docs, "d", "e", asked, "q", "v").count() == 0
+    full = docs.union(spark.createDataFrame([("a", "x y", [1.0])], docs.schema))
+    assert retrieval.bm25(full, "d", words, asked.limit(0), "q", {"t": T.word_runs(F.col("s"))}).count() == retrieval.nearest(full, "d", "e", asked.limit(0), "q", "v").count() == 0
+    assert chunking.chunk_texts(docs, "d", "t").count() == chunking.sections(docs, "d", "t").count() == 0
+    assert context.pack(context.costed(offered(spark, ((1, 1),)).limit(0))).count() == 0
+
+
 def test_search_in_blocks_of_queries(spark, monkeypatch):
     rng = random.Random(4)
     v = spark.createDataFrame([(i, [rng.random() - 0.5 for _ in range(5)] if i % 9 else [0.0] * 5, 0) for i in range(60)], "id long, e array<double>, score int")
