@@ -60,7 +60,11 @@ class Scanner:
         self.fewest = {item: self._fewest(len(words)) for item, words in self.words.items()}
         self.automaton = ahocorasick.Automaton()
         for pattern, found in places.items():
-            self.automaton.add_word(pattern, found)
+            where: dict[object, list[tuple[int, int]]] = {}
+            for item, k, n in found:
+                where.setdefault(item, []).append((k, n))
+            whole = tuple(x for x, own in where.items() if any(n == len(self.words[x]) for _, n in own))
+            self.automaton.add_word(pattern, (tuple(where), whole, where))
         if places:
             self.automaton.make_automaton()
         else:
@@ -78,14 +82,16 @@ class Scanner:
         raw = list(self.automaton.iter(plain))
         if not raw:
             return []
-        hits: dict[object, list[tuple[int, int, int]]] = defaultdict(list)
-        for end, found in raw:
-            for item, k, n in found:
-                hits[item].append((end, k, n))
+        times: Counter[object] = Counter()
+        found: set[object] = set()
+        for _, (some, whole, _) in raw:
+            times.update(some)
+            found.update(whole)
         # an item that could reach its share has this many hits, or one of its whole text
-        hits = {x: h for x, h in hits.items() if len(h) >= self.fewest[x] or any(n == len(self.words[x]) for _, _, n in h)}
-        if not hits:
+        found.update(x for x, n in times.items() if n >= self.fewest[x])
+        if not found:
             return []
+        hits = {x: [(end, k, n) for end, (_, _, where) in raw if x in where for k, n in where[x]] for x in sorted(found, key=str)}
         gaps = [m.start() for m in re.finditer(" ", plain)]  # the k-th word stands behind the k-th blank
         spans: list[tuple[int, int]] = []
         words = plain.split()
@@ -93,22 +99,22 @@ class Scanner:
         for item, own_hits in hits.items():
             own = self.words[item]
             n = len(own)
-            found = [(n, p, p + n) for end, _, m in own_hits if m == n for p in (bisect_left(gaps, end) - n,)]
+            stretches = [(n, p, p + n) for end, _, m in own_hits if m == n for p in (bisect_left(gaps, end) - n,)]
             # hits inside a whole text are settled by it
-            rest = [(p, k) for end, k, m in own_hits if m < n for p in (bisect_left(gaps, end) - m,) if not any(a <= p < b for _, a, b in found)]
+            rest = [(p, k) for end, k, m in own_hits if m < n for p in (bisect_left(gaps, end) - m,) if not any(a <= p < b for _, a, b in stretches)]
             open_ = self._regions(rest, n)
             while open_:
                 lo, hi = open_.pop()
                 matched, a, b = align(own, words[lo:hi])
                 if matched >= self.share * n:
-                    if not any(lo + a < y and x < lo + b for _, x, y in found):
-                        found.append((matched, lo + a, lo + b))
+                    if not any(lo + a < y and x < lo + b for _, x, y in stretches):
+                        stretches.append((matched, lo + a, lo + b))
                     # what is left on both sides may hold the item again
                     open_ += [(x, y) for x, y in ((lo, lo + a), (lo + b, min(hi, len(words)))) if y - x >= self.share * n]
-            if found and not spans:
+            if stretches and not spans:
                 lowered = text.lower()
                 spans = [m.span(1) for m in WORD.finditer(lowered if len(lowered) == len(text) else text) if m.group(1)]
-            out += [(item, m, m / n, spans[a][0], spans[min(b, len(spans)) - 1][1]) for m, a, b in sorted(found, key=lambda x: x[1])]
+            out += [(item, m, m / n, spans[a][0], spans[min(b, len(spans)) - 1][1]) for m, a, b in sorted(stretches, key=lambda x: x[1])]
         return out
 
     def _regions(self, pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
