@@ -111,47 +111,63 @@ class TextModel:
                 self.known[k] = np.maximum(v - v.max(), -CLIP)
         return self.known[[self.numbers[w] for w in words]]
 
-    def segments(self, text: str, declared: str | None, prior: np.ndarray, switch: float) -> list[tuple[str, float, int, int]]:
-        """(language, confidence, start, end) of the maximal stretches of one language."""
-        spans = sentences(text)
-        if not spans:
-            return []
-        n, k = len(self.languages), len(spans)
-        emit = np.zeros((k, n))
-        full = [t for t in range(k) if spans[t][2]]
+    def segments(self, texts: list[str], declared: list[str | None], priors: np.ndarray, switch: float) -> list[list[tuple[str, float, int, int]]]:
+        """Of each text the (language, confidence, start, end) of its maximal stretches of one language.
+
+        The chains of all texts run side by side, the longest first, so a step costs one operation for all of them.
+        """
+        found = [sentences(t) for t in texts]
+        order = sorted(range(len(texts)), key=lambda d: -len(found[d]))
+        order = order[: sum(bool(x) for x in found)]
+        if not order:
+            return [[] for _ in texts]
+        n = len(self.languages)
+        sizes = np.array([len(found[d]) for d in order])
+        at = np.concatenate(([0], np.cumsum(sizes)[:-1]))  # where the sentences of each text begin
+        flat = [x[2] for d in order for x in found[d]]
+        full = [t for t, words in enumerate(flat) if words]
+        emit = np.zeros((len(flat), n))
         if full:
-            starts = np.cumsum([0, *(len(spans[t][2]) for t in full[:-1])])
-            emit[full] = np.add.reduceat(self.scores([w for t in full for w in spans[t][2]]), starts, axis=0)
-        emit[0] += np.log(prior) + self.declared[:, self.languages.index(declared) if declared in self.languages else n]
+            starts = np.cumsum([0, *(len(flat[t]) for t in full[:-1])])
+            emit[full] = np.add.reduceat(self.scores([w for t in full for w in flat[t]]), starts, axis=0)
+        label = [self.languages.index(x) if (x := declared[d]) in self.languages else n for d in order]
+        emit[at] += np.log(priors[order]) + self.declared[:, label].T
         stay, leave = 1 - switch, switch / (n - 1)
+        log_stay, log_leave = np.log(stay), np.log(leave)
         # forward and backward with scaled probabilities, and the best path; a move costs the same between any two languages
         chance = np.exp(emit - emit.max(axis=1, keepdims=True)) + 1e-280
-        ahead, behind = np.empty((k, n)), np.ones((k, n))
-        best, came = emit[0], np.empty((k, n), int)
-        ahead[0] = chance[0] / chance[0].sum()
-        own, log_stay, log_leave = np.arange(n), np.log(stay), np.log(leave)
-        for t in range(1, k):
-            a = chance[t] * ((stay - leave) * ahead[t - 1] + leave)
-            ahead[t] = a / a.sum()
-            top = int(best.argmax())
-            same = best + log_stay >= best[top] + log_leave
-            came[t] = np.where(same, own, top)
-            best = np.where(same, best + log_stay, best[top] + log_leave) + emit[t]
-        for t in range(k - 2, -1, -1):
-            b = chance[t + 1] * behind[t + 1]
-            b = (stay - leave) * b + leave * b.sum()
-            behind[t] = b / b.sum()
+        ahead, behind, came = np.empty_like(chance), np.ones_like(chance), np.empty(chance.shape, np.int16)
+        best, own = emit[at], np.arange(n)
+        ahead[at] = chance[at] / chance[at].sum(axis=1, keepdims=True)
+        active = [int((sizes > t).sum()) for t in range(int(sizes[0]) + 1)]
+        for t in range(1, int(sizes[0])):
+            now = at[: active[t]] + t
+            a = chance[now] * ((stay - leave) * ahead[now - 1] + leave)
+            ahead[now] = a / a.sum(axis=1, keepdims=True)
+            b = best[: active[t]]
+            top = b.argmax(axis=1)
+            moved = b[np.arange(len(b)), top][:, None] + log_leave
+            kept = b + log_stay >= moved
+            came[now] = np.where(kept, own, top[:, None])
+            best[: active[t]] = np.where(kept, b + log_stay, moved) + emit[now]
+        path = np.empty(len(flat), np.int16)
+        path[at + sizes - 1] = best.argmax(axis=1)
+        for t in range(int(sizes[0]) - 2, -1, -1):
+            now = at[: active[t + 1]] + t
+            b = chance[now + 1] * behind[now + 1]
+            b = (stay - leave) * b + leave * b.sum(axis=1, keepdims=True)
+            behind[now] = b / b.sum(axis=1, keepdims=True)
+            path[now] = came[now + 1, path[now + 1]]
         sure = ahead * behind
-        sure /= sure.sum(axis=1, keepdims=True)
-        path = [int(best.argmax())]
-        for t in range(k - 1, 0, -1):
-            path.append(int(came[t, path[-1]]))
-        path.reverse()
-        out, a = [], 0
-        for t in range(1, k + 1):
-            if t == k or path[t] != path[a]:
-                out.append((self.languages[path[a]], float(sure[a:t, path[a]].mean()), spans[a][0], spans[t - 1][1]))
-                a = t
+        sure = sure[np.arange(len(flat)), path] / sure.sum(axis=1)
+        new = np.ones(len(flat), bool)
+        new[1:] = path[1:] != path[:-1]
+        new[at] = True
+        out: list[list[tuple[str, float, int, int]]] = [[] for _ in texts]
+        for k, d in enumerate(order):
+            begins = np.flatnonzero(new[at[k] : at[k] + sizes[k]]).tolist()
+            for a, b in zip(begins, [*begins[1:], len(found[d])], strict=True):
+                out[d].append((self.languages[path[at[k] + a]], float(sure[at[k] + a : at[k] + b].mean()), found[d][a][0], found[d][b - 1][1]))
         return out
 
 
@@ -187,6 +203,13 @@ def fit(labelled: list[tuple[str, str]], languages: Sequence[str] = LANGUAGES, r
     return TextModel(languages, (logs - logs.mean(axis=1, keepdims=True)).astype(np.float16), np.log(np.hstack([confusion * 0.8, unlabelled])))
 
 
+def _parts(pdf: pd.DataFrame, most: int = 2_000_000) -> Iterator[pd.DataFrame]:
+    """Runs of rows with about ``most`` characters, at least one row each."""
+    number = (pdf["text"].str.len().cumsum() // most).to_numpy()
+    for k in np.unique(number):
+        yield pdf[number == k]
+
+
 def assign_languages(
     docs: DataFrame, doc: str, text: str, declared: str, host: str, languages: Sequence[str] = LANGUAGES, fit_rows: int = 8000, fit_chars: int = 3000, switch: float = 0.01, weight: float = 50.0, salts: int = 16, broadcast_hosts: int = 10_000
 ) -> DataFrame:
@@ -225,9 +248,11 @@ def assign_languages(
         names = ["doc_id", "seg_no", "lang", "confidence", "start_pos", "end_pos", "segments", "declared_right"]
         for pdf in batches:
             out = []
-            for d, t, own, p in zip(pdf["doc_id"], pdf["text"], pdf["declared"], pdf["prior"], strict=True):
-                found = model.segments(t, own, np.asarray(base if p is None else p, float), switch)
-                out += [(d, k, x, c, a, b, len(found), x == own) for k, (x, c, a, b) in enumerate(found)]
+            for part in _parts(pdf):
+                own = part["declared"].tolist()
+                priors = np.array([base if p is None else p for p in part["prior"]], float)
+                for d, x, found in zip(part["doc_id"], own, model.segments(part["text"].tolist(), own, priors, switch), strict=True):
+                    out += [(d, k, y, c, a, b, len(found), y == x) for k, (y, c, a, b) in enumerate(found)]
             yield pd.DataFrame(out, columns=names).astype({"seg_no": "int32", "confidence": "float64", "start_pos": "int32", "end_pos": "int32", "segments": "int32", "declared_right": "bool"})
 
     kind = dict(docs.dtypes)[doc]
