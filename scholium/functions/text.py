@@ -184,5 +184,7 @@ def backoff(attempt: Column, base: float = 60.0, most: float = 3600.0) -> Column
     return F.least(F.lit(base) * F.pow(F.lit(2.0), attempt), F.lit(most))
 
 
-def location(section: Column, subsection: Column, otherwise: str = "body") -> Column:
-    return F.when(section.isNull(), F.lit(otherwise)).otherwise(F.concat_ws(" > ", section, subsection))
+def location(section: Column, subsection: Column, otherwise: str | Column = "body") -> Column:
+    """Where a passage stands: section > subsection, or the section, or otherwise (for passages made here: their kind)."""
+    top, below = F.nullif(section, F.lit("")), F.nullif(subsection, F.lit(""))
+    return F.when(top.isNull(), F.lit(otherwise) if isinstance(otherwise, str) else otherwise).otherwise(F.concat_ws(" > ", top, below))

@@ -210,6 +210,8 @@ def metadata_filter(df: DataFrame, equal: dict[str, Sequence] | None = None, ove
 
 def reciprocal_rank(lists: DataFrame, k: int = 60) -> DataFrame:
     """Fusion by reciprocal ranks. lists: query_id, chunk_id, li (number of the list), rank. Ties: first list, then its rank."""
+    if k < 1:
+        raise ValueError("k must be at least 1")
     fused = lists.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 12).alias("score"), F.min(F.struct("li", "rank")).alias("first"))
     return _ordered(fused)
 
@@ -229,6 +231,13 @@ def _ordered(fused: DataFrame) -> DataFrame:
     return fused.select("query_id", "chunk_id", "score", rank.alias("rank"))
 
 
+def merge_lists(lists: DataFrame, *columns: str) -> DataFrame:
+    """One row a query and chunk: the given columns as the first list has them, and all contributions in list order."""
+    parts = F.array_sort(F.collect_list(F.struct("li", "retriever", "rank", "score")))  # one entry a list
+    shown = F.transform(parts, lambda p: F.struct(p["retriever"].alias("retriever"), p["rank"].alias("rank"), p["score"].alias("score")))
+    return lists.groupBy("query_id", "chunk_id").agg(*[F.min_by(c, F.struct("li", "rank")).alias(c) for c in columns], shown.alias("contributions"))
+
+
 def explain(lists: DataFrame) -> DataFrame:
     """How each chunk was found: retriever#rank(score) joined by ' + ' in list order."""
     parts = F.array_sort(F.collect_list(F.struct("li", "retriever", "rank", "score")))  # one entry a list
@@ -296,6 +305,8 @@ def drop_alike(ranked: DataFrame, text: str = "text", threshold: float = 0.9, mo
 
 def cap_per_paper(ranked: DataFrame, paper: str, most: int = 3) -> DataFrame:
     """At most ``most`` chunks of a paper in a query's list; ranks are given anew."""
+    if most < 1:
+        raise ValueError("most must be at least 1")
     kept = ranked.withColumn("n", F.row_number().over(Window.partitionBy("query_id", paper).orderBy("rank", "chunk_id"))).where(F.col("n") <= most).drop("n")
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "chunk_id")).cast("long"))
 

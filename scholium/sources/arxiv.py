@@ -103,6 +103,12 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "entry").schema(ENTRY).load(path)
 
 
+def moment(name: str) -> Column:
+    """A timestamp as text; one without a zone is meant in UTC, one that cannot be read is null."""
+    c = F.trim(F.col(name))
+    return F.try_to_timestamp(F.when(c.rlike(r"(?:[Zz]|[+-]\d{2}:?\d{2})$") & c.contains(":"), c).otherwise(F.concat(c, F.lit("Z"))))
+
+
 def parse_entries(entries: DataFrame) -> DataFrame:
     """Records of a feed with a flag valid; bad entries stay, so they can be set aside and counted."""
     name, version = versioned_id(F.col("id"))
@@ -115,7 +121,7 @@ def parse_entries(entries: DataFrame) -> DataFrame:
     people = F.filter(F.transform(F.coalesce(F.col("author"), F.array().cast("array<struct<name string>>")), lambda a: squeeze_blanks(a["name"])), lambda a: a.isNotNull())
     base = entries.select(
         name.alias("arxiv_id"), version.alias("version"), squeeze_blanks(F.col("title")).alias("title"), squeeze_blanks(F.col("summary")).alias("abstract"), people.alias("authors"),
-        F.try_to_timestamp("published").alias("published_at"), F.try_to_timestamp("updated").alias("updated_at"), primary.alias("primary_category"),
+        moment("published").alias("published_at"), moment("updated").alias("updated_at"), primary.alias("primary_category"),
         F.array_distinct(F.filter(F.concat(F.array(primary), terms), lambda t: t.isNotNull())).alias("categories"),
         squeeze_blanks(F.col("`arxiv:doi`")).alias("doi"), squeeze_blanks(F.col("`arxiv:journal_ref`")).alias("journal_ref"), squeeze_blanks(F.col("`arxiv:comment`")).alias("comment"),
         F.coalesce(page, F.col("id")).alias("abs_url"), F.coalesce(pdf, F.regexp_replace("id", "/abs/", "/pdf/")).alias("pdf_url"), F.contains("id", F.lit("api/errors")).alias("is_error"),

@@ -574,6 +574,26 @@ def test_gathered_context(spark):
     assert rows(context.answers(told, replies).select("query_id", "refusal_reason", F.array_join("used", ","))) == [("q", None, "P1")]
 
 
+def test_lists_merge_with_what_found_them(spark):
+    lists = spark.createDataFrame([("q", "a", 2, "vector", 1, 0.5, "late"), ("q", "a", 1, "keyword", 4, 9.0, "early"), ("q", "b", 2, "vector", 2, 0.4, None)], "query_id string, chunk_id string, li int, retriever string, rank int, score double, title string")
+    got = {r["chunk_id"]: (r["title"], [tuple(c) for c in r["contributions"]]) for r in retrieval.merge_lists(lists, "title").collect()}
+    assert got == {"a": ("early", [("keyword", 4, 9.0), ("vector", 1, 0.5)]), "b": (None, [("vector", 2, 0.4)])}
+    for bad in (lambda: retrieval.reciprocal_rank(lists, 0), lambda: retrieval.cap_per_paper(lists, "title", 0)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_times_and_places(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([("2020-01-01T00:00:00Z",), ("2020-01-01T00:00:00",), ("2020-01-01T02:00:00+02:00",), ("soon",), (None,)], "at string")
+        assert [r[0] for r in df.select(F.unix_seconds(arxiv.moment("at"))).collect()] == [1577836800] * 3 + [None, None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    df = spark.createDataFrame([("A", "B", "k"), ("A", None, "k"), (None, "B", "k"), ("", "", "k")], "s string, u string, kind string")
+    assert [r[0] for r in df.select(T.location(F.col("s"), F.col("u"), F.col("kind"))).collect()] == ["A > B", "A", "k", "k"]
+
+
 def test_result_rows(spark):
     hits = spark.createDataFrame([("q", "a", 2.5, 1), ("q", "b", None, 2), ("r", "c", 1.0, 1)], "query_id string, chunk_id string, score double, rank int")
     made = {r["chunk_id"]: (r["score"], [tuple(c) for c in r["contributions"]]) for r in retrieval.hit_rows(hits, "keyword").collect()}
