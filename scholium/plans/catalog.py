@@ -62,7 +62,7 @@ def text_quality(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_QUALITY + """SELECT extraction_id, coalesce(s.words, 0) = 0 OR coalesce(cpp, 0) < 100 OR (coalesce(score, 0) < 0.5 AND coalesce(cpp, 0) < 800) AS recognise FROM m LEFT JOIN s USING (extraction_id)""")
 def ocr_decision(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "extractions").select("extraction_id", T.needs_recognition(T.quality(F.col("text"), F.col("page_count"))).alias("recognise"))
+    return spread(table(spark, d, "extractions").select("extraction_id", "text", "page_count")).select("extraction_id", T.needs_recognition(T.quality(F.col("text"), F.col("page_count"))).alias("recognise"))
 
 
 @query(_QUALITY.replace("FROM extractions)", "FROM (SELECT extraction_id * 2 AS extraction_id, text, page_count FROM extractions UNION ALL SELECT extraction_id * 2 + 1, regexp_replace(text, '[^a-z \\n]', 'e', 'g'), page_count FROM extractions))") + """,
@@ -73,8 +73,11 @@ SELECT extraction_id, CASE WHEN wanted AND other > score THEN 'ocr' WHEN wanted
 def extraction_choice(spark: SparkSession, d: str) -> DataFrame:
     """The better of each text and a second reading of it, which is made here by writing e for all but small letters."""
     again = F.regexp_replace("text", "[^a-z \n]", "e")
-    c = T.choose_extraction(T.quality(F.col("text"), F.col("page_count")), T.quality(again, F.col("page_count")), F.lit(True))
-    return table(spark, d, "extractions").select("extraction_id", c["method"].alias("method"), F.round(c["score"], 6).alias("score"), c["ocr_attempted"].alias("ocr_attempted"))
+    two = [F.struct(*[c.alias(n) for n, c in T.quality(t, F.col("page_count")).items() if n != "reasons"]).alias(name) for name, t in (("native", F.col("text")), ("other", again))]
+    rows = spread(table(spark, d, "extractions").select("extraction_id", "text", "page_count")).select("extraction_id", *two)
+    told = [{n: F.col(f"{name}.{n}") for n in ("score", "word_count", "chars_per_page")} for name in ("native", "other")]
+    c = T.choose_extraction(*told, F.lit(True))
+    return rows.select("extraction_id", c["method"].alias("method"), F.round(c["score"], 6).alias("score"), c["ocr_attempted"].alias("ocr_attempted"))
 
 
 @query("""SELECT extraction_id, CAST(len(list_filter(string_split(coalesce(text, ''), chr(12)), lambda p: length(regexp_replace(p, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) >= 50)) AS BIGINT) AS full_pages,
@@ -543,12 +546,12 @@ def dead_letters(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_STATUS}, r AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'INDEXED' ELSE 'EMBEDDED' END AS new_stage FROM s WHERE event_id % 2 = 0)
-SELECT event_id, coalesce(new_stage, stage) AS stage, CAST(attempts AS BIGINT) AS attempts, CASE WHEN new_stage IS DISTINCT FROM 'INDEXED' THEN floor(epoch(next_retry_at))::BIGINT END AS retry_at, new_stage IS DISTINCT FROM 'INDEXED' AS has_error FROM s LEFT JOIN r USING (event_id)""")
+SELECT event_id, coalesce(new_stage, stage) AS stage, CAST(attempts AS BIGINT) AS attempts, CASE WHEN new_stage IS DISTINCT FROM 'INDEXED' THEN floor(epoch(next_retry_at) - epoch(TIMESTAMP '2024-01-01'))::BIGINT END AS retry_at, new_stage IS DISTINCT FROM 'INDEXED' AS has_error FROM s LEFT JOIN r USING (event_id)""")
 def stage_advance(spark: SparkSession, d: str) -> DataFrame:
     status = _status(spark, d).select("event_id", "stage", "attempts", "max_attempts", "next_retry_at", "last_error")
     reached = status.where("event_id % 2 = 0").select("event_id", F.when(F.col("event_id") % 4 == 0, "INDEXED").otherwise("EMBEDDED").alias("new_stage"))
     out = state.advance_stage(status, reached, "event_id")
-    return out.select("event_id", "stage", F.col("attempts").cast("long").alias("attempts"), F.unix_seconds("next_retry_at").alias("retry_at"), F.col("last_error").isNotNull().alias("has_error"))
+    return out.select("event_id", "stage", F.col("attempts").cast("long").alias("attempts"), (F.unix_seconds("next_retry_at") - F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp"))).alias("retry_at"), F.col("last_error").isNotNull().alias("has_error"))
 
 
 @query(f"""WITH {_STATUS} SELECT (SELECT count(*) FROM arxiv_papers) AS papers, (SELECT count(*) FROM arxiv_papers WHERE version = 1) AS latest, (SELECT count(*) FROM retrieved_chunks) AS chunks,

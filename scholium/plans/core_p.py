@@ -29,7 +29,7 @@ def p5_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state of every paper at the start of 2024."""
-    rows = as_of(_store(spark, sf_dir), "arxiv_id", STATE, F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    rows = as_of(_store(spark, sf_dir), "arxiv_id", STATE, F.lit("2024-01-01 00:00:00+00:00").cast("timestamp"))
     return rows.select("arxiv_id", "seq", F.col("version").cast("int").alias("version"), F.sha2(squeeze("title"), 256).alias("title_key"))
 
 
@@ -52,5 +52,5 @@ SQL = {
        FROM h WINDOW w AS (PARTITION BY arxiv_id ORDER BY updated_at)""",
     "p5_as_of": _CHANGES
     + """SELECT arxiv_id, CAST(row_number() OVER w - 1 AS BIGINT) AS seq, CAST(version AS INTEGER) AS version, sha256(t) AS title_key FROM h
-       WINDOW w AS (PARTITION BY arxiv_id ORDER BY updated_at) QUALIFY updated_at <= TIMESTAMP '2024-01-01' AND coalesce(lead(updated_at) OVER w > TIMESTAMP '2024-01-01', true)""",
+       WINDOW w AS (PARTITION BY arxiv_id ORDER BY updated_at) QUALIFY updated_at <= TIMESTAMPTZ '2024-01-01 00:00:00+00' AND coalesce(lead(updated_at) OVER w > TIMESTAMPTZ '2024-01-01 00:00:00+00', true)""",
 }
