@@ -57,28 +57,45 @@ def clamp(v: Column, lo: float, hi: float) -> Column:
     return F.lit(1.0) if hi <= lo else F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - lo) / (hi - lo)))
 
 
-def quality(text: Column, pages: Column) -> dict[str, Column]:
-    """Quality statistics of an extracted text over a number of pages (below 1: null). A null text counts as empty."""
+def _counts(text: Column) -> dict[str, Column]:
     t = F.coalesce(text, F.lit(""))
-    dense = F.length(F.regexp_replace(t, r"(?U)\s", ""))
-    some, paged = dense > 0, pages >= 1
-    letters = dense - F.length(F.regexp_replace(F.regexp_replace(t, r"(?U)\s", ""), r"\p{L}", ""))
-    words = F.size(F.regexp_extract_all(t, F.lit(r"(?U)\S+"), F.lit(0)))
-    replaced = F.length(t) - F.length(F.replace(t, F.lit("�"), F.lit("")))
+    return {
+        "dense": F.length(F.regexp_replace(t, r"(?U)\s", "")), "letters": F.length(F.regexp_replace(t, r"\P{L}", "")), "words": F.size(F.regexp_extract_all(t, F.lit(r"(?U)\S+"), F.lit(0))),
+        "replaced": F.length(t) - F.length(F.replace(t, F.lit("�"), F.lit(""))), "size": F.length(t),
+    }
+
+
+def _statistics(n: dict[str, Column], pages: Column) -> dict[str, Column]:
+    some, paged = n["dense"] > 0, pages >= 1
     on = lambda c: F.when(paged, F.when(some, c).otherwise(F.lit(0.0)))
-    cpp, alpha, mean, bad = dense / pages, letters / dense, dense / words, replaced / F.length(t)
+    cpp, alpha, mean, bad = n["dense"] / pages, n["letters"] / n["dense"], n["dense"] / n["words"], n["replaced"] / n["size"]
     shape = F.when((mean >= WORD_LENGTH[0]) & (mean <= WORD_LENGTH[1]), 1.0).otherwise(0.0)
     intact = F.when(bad > REPLACED_MOST, REPLACED_FACTOR).otherwise(1.0)
     score = clamp(alpha, *LEGIBLE) * intact * (0.6 * clamp(cpp, *DENSITY) + 0.4 * shape)
     r = lambda when, form, v: F.when(when, F.format_string(form, v))
     reasons = F.array_compact(F.array(
-        r(F.coalesce(cpp, F.lit(0.0)) < DENSITY[0], "only %.0f chars/page, looks like a scanned document", F.coalesce(cpp, F.lit(0.0))),
+        r(cpp < DENSITY[0], "only %.0f chars/page, looks like a scanned document", cpp),
         r(alpha < LEGIBLE[0], "alphabetic ratio %.2f suggests a broken font encoding", alpha),
         r(mean < WORD_LENGTH[0], "mean word length %.1f suggests character-level fragmentation", mean),
         r(mean > WORD_LENGTH[1], "mean word length %.1f suggests collapsed spacing", mean),
         r(bad > REPLACED_MOST, "%.1f%% replacement characters indicate decoding failure", bad * 100),
     ))
-    return {"reasons": F.when(paged, F.when(some, reasons).otherwise(F.array(F.lit(EMPTY_REASON)))), "chars_per_page": on(cpp), "alpha_ratio": on(alpha), "mean_word_length": on(mean), "replacement_char_ratio": on(bad), "word_count": F.when(paged, F.when(some, words).otherwise(0).cast("long")), "score": on(score)}
+    return {
+        "reasons": F.when(paged, F.when(some, reasons).otherwise(F.array(F.lit(EMPTY_REASON)))), "chars_per_page": on(cpp), "alpha_ratio": on(alpha), "mean_word_length": on(mean),
+        "replacement_char_ratio": on(bad), "word_count": F.when(paged, F.when(some, n["words"]).otherwise(0).cast("long")), "score": on(score),
+    }
+
+
+def quality(text: Column, pages: Column) -> dict[str, Column]:
+    """Quality statistics of an extracted text over a number of pages (below 1: null). A null text counts as empty."""
+    return _statistics(_counts(text), pages)
+
+
+def quality_struct(text: Column, pages: Column) -> Column:
+    """The same statistics as one struct; however many of its fields are used, the text is read once."""
+    n = _counts(text)
+    whole = F.struct(*[c.alias(x) for x, c in n.items()], pages.alias("pages"))
+    return F.transform(F.array(whole), lambda b: F.struct(*[c.alias(x) for x, c in _statistics({x: b[x] for x in n}, b["pages"]).items()]))[0]
 
 
 def needs_recognition(q: dict[str, Column], threshold: float = 0.5) -> Column:

@@ -56,13 +56,15 @@ s AS (SELECT *, greatest(0, least(1, (alpha - 0.55) / (0.70::DOUBLE - 0.55))) *
   round(coalesce(rep, 0), 6) AS replacement_char_ratio, CAST(coalesce(s.words, 0) AS BIGINT) AS word_count, round(coalesce(score, 0), 6) AS score,
   CAST(CASE WHEN dense = 0 THEN 1 ELSE (cpp < 100)::INT + (alpha < 0.55)::INT + (mwl < 2.5)::INT + (mwl > 12)::INT + (rep > 0.01)::INT END AS BIGINT) AS reasons FROM m LEFT JOIN (SELECT * EXCLUDE (dense) FROM s) s USING (extraction_id)""")
 def text_quality(spark: SparkSession, d: str) -> DataFrame:
-    q = T.quality(F.col("text"), F.col("page_count"))
-    return spread(table(spark, d, "extractions").select("extraction_id", "text", "page_count")).select("extraction_id", *[(c if n == "word_count" else F.size(c).cast("long") if n == "reasons" else F.round(c, 6)).alias(n) for n, c in q.items()])
+    q = spread(table(spark, d, "extractions").select("extraction_id", "text", "page_count")).select("extraction_id", T.quality_struct(F.col("text"), F.col("page_count")).alias("q"))
+    doubles = ("chars_per_page", "alpha_ratio", "mean_word_length", "replacement_char_ratio", "score")
+    return q.select("extraction_id", *[F.round(f"q.{c}", 6).alias(c) for c in doubles], "q.word_count", F.size("q.reasons").cast("long").alias("reasons"))
 
 
 @query(_QUALITY + """SELECT extraction_id, coalesce(s.words, 0) = 0 OR coalesce(cpp, 0) < 100 OR (coalesce(score, 0) < 0.5 AND coalesce(cpp, 0) < 800) AS recognise FROM m LEFT JOIN s USING (extraction_id)""")
 def ocr_decision(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "extractions").select("extraction_id", "text", "page_count")).select("extraction_id", T.needs_recognition(T.quality(F.col("text"), F.col("page_count"))).alias("recognise"))
+    rows = spread(table(spark, d, "extractions").select("extraction_id", "text", "page_count")).select("extraction_id", T.quality_struct(F.col("text"), F.col("page_count")).alias("q"))
+    return rows.select("extraction_id", T.needs_recognition({c: F.col(f"q.{c}") for c in ("word_count", "chars_per_page", "score")}).alias("recognise"))
 
 
 @query(_QUALITY.replace("FROM extractions)", "FROM (SELECT extraction_id * 2 AS extraction_id, text, page_count FROM extractions UNION ALL SELECT extraction_id * 2 + 1, regexp_replace(text, '[^a-z \\n]', 'e', 'g'), page_count FROM extractions))") + """,
@@ -73,7 +75,7 @@ SELECT extraction_id, CASE WHEN wanted AND other > score THEN 'ocr' WHEN wanted
 def extraction_choice(spark: SparkSession, d: str) -> DataFrame:
     """The better of each text and a second reading of it, which is made here by writing e for all but small letters."""
     again = F.regexp_replace("text", "[^a-z \n]", "e")
-    two = [F.struct(*[c.alias(n) for n, c in T.quality(t, F.col("page_count")).items() if n != "reasons"]).alias(name) for name, t in (("native", F.col("text")), ("other", again))]
+    two = [T.quality_struct(t, F.col("page_count")).alias(name) for name, t in (("native", F.col("text")), ("other", again))]
     rows = spread(table(spark, d, "extractions").select("extraction_id", "text", "page_count")).select("extraction_id", *two)
     told = [{n: F.col(f"{name}.{n}") for n in ("score", "word_count", "chars_per_page")} for name in ("native", "other")]
     c = T.choose_extraction(*told, F.lit(True))
