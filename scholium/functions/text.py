@@ -152,11 +152,12 @@ def url_allowed(url: Column, hosts: Sequence[str]) -> Column:
 
 def stable_vector(text: Column, dims: int = 64, prefix: str = "") -> Column:
     """A deterministic unit vector from a text's SHA-256, for tests and for want of a model."""
-    h = F.sha2(F.concat(F.lit(prefix), text), 256)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (F.conv(F.substr(h, 2 * (i % 32) + 1, F.lit(2)), 16, 10).cast("double") - 127.5) / 127.5)
-    # one-element array: the raw values and their norm are bound once, not evaluated again for every element
-    bound = F.transform(F.array(raw), lambda r: F.struct(r.alias("r"), F.sqrt(F.aggregate(r, F.lit(0.0), lambda a, x: a + x * x)).alias("n")))
-    return F.transform(bound, lambda s: F.transform(s["r"], lambda x: x / s["n"]))[0]
+    # one-element arrays: the digest, its bytes and the norm are bound once, not evaluated again for every element
+    once = lambda value, use: F.transform(F.array(value), use)[0]
+    scaled = lambda h: F.transform(F.sequence(F.lit(0), F.lit(min(dims, 32) - 1)), lambda i: (F.conv(F.substr(h, 2 * i + 1, F.lit(2)), 16, 10).cast("double") - 127.5) / 127.5)
+    repeated = lambda b: F.slice(F.flatten(F.array_repeat(b, -(-dims // 32))), 1, dims)
+    unit = lambda r: once(F.sqrt(F.aggregate(r, F.lit(0.0), lambda a, x: a + x * x)), lambda n: F.transform(r, lambda x: x / n))
+    return F.when(text.isNotNull(), once(F.sha2(F.concat(F.lit(prefix), text), 256), lambda h: once(scaled(h), lambda b: once(repeated(b), unit))))
 
 
 def _brackets(answer: Column) -> Column:
