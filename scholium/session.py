@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _STORED: list[str] = []
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "scholium") -> SparkSession:
@@ -79,14 +80,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, tidy: bool = False) -> DataFrame:
     """A table written to the shared folder and read again: smaller than a checkpoint for repeating values.
 
-    The file system deletes it when the application ends; release() does so at once.
+    The file system deletes it when the application ends; release() does so at once. tidy: the shuffle files
+    of the writing are deleted when it is over, not when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/scholium-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    if tidy:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy and before is None:
+            spark.conf.unset(CLEANUP)
+        elif tidy:
+            spark.conf.set(CLEANUP, before)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     _STORED.append(path)

@@ -425,3 +425,24 @@ def test_bucket_pairs_take_repeats_once(spark):
     hits = [(c, s) for s in range(3) for c in range(5 + 3 * s)]
     df = spark.createDataFrame(hits * 3, "class_id long, sketch long")
     assert rows(neardup.bucket_pairs(df, small=6)) == sorted(combinations(range(11), 2))
+
+
+def test_chance_candidates_are_ruled_out_where_they_meet(spark):
+    rng = random.Random(9)
+    sets = [rng.sample(range(10**6), rng.randrange(5, 60)) for _ in range(60)]
+    sets += [s[: len(s) - len(s) // 10] + rng.sample(range(10**6), len(s) // 10) for s in sets] + [sets[0] + sets[1]]
+    values = np.array([h for s in sets for h in s * 2], np.int32)
+    starts = np.cumsum([0, *(2 * len(s) for s in sets[:-1])])
+    bits = list(zip(*(x.tolist() for x in neardup.parity_bits(values, starts)), strict=True))
+    assert [n for n, _, _ in bits] == [len(set(s)) for s in sets]
+    df = spark.createDataFrame([(c, 1, *own) for c, own in enumerate(bits)], "class_id long, sketch long, size int, low long, high long")
+    alike = {(a, b) for a, b in combinations(range(len(sets)), 2) if len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})}
+    for small in (256, 5):
+        got = {tuple(r) for r in neardup.bucket_pairs(df, small, 0.8).collect()}
+        assert alike <= got and len(alike) > 40 and len(got) < 400  # 7260 pairs share the sketch
+
+
+def test_sketches_in_rounds_are_the_same():
+    values, starts, weights = np.arange(200, dtype=np.int32) * 7919 % 301, np.array([0, 50, 120]), np.ones(neardup.BINS, np.float32)
+    whole = neardup.sketches(values, starts, weights, 8, 4, 1)
+    assert (np.hstack([neardup.sketches(values, starts, weights, 3, 4, 1), neardup.sketches(values, starts, weights, 5, 4, 1, 3)]) == whole).all()
