@@ -11,13 +11,14 @@
 Evidence is absolute: a word, a hyphened word or a line at a page's edge is known if it stands ``least`` times
 (``line_least`` for lines) in distinct texts, so copies prove nothing and more text only adds to what is known. A
 known misspelling is still corrected where a known word, times the confusion's probability, is likelier than the
-chance ``GENUINE`` that it is a word of its own, times its frequency. Words
-may be two confusions away only from a word with a share of ``share`` of all words, and pairs count only with a
-share of ``pair_share``, their likelihood at most e^4 times.
+chance ``GENUINE`` that it is a word of its own, times its frequency. Word pairs are known like words, and make
+a reading at most e^4 times likelier, but not where another reading's pair stands 1 / ``MOST_MISREAD`` times as often:
+the pair can be that one misread. A word that no single confusion explains may be two away from a known word.
 
-What is known goes to the tasks whole up to ``most_entries`` entries. Beyond, the tasks are sent what has those
-shares (at most 1 / share entries each), and every text is joined with what it asks of the rest: its other words,
-the misread forms of other known words among them, its hyphened words and its edge lines.
+What is known goes to the tasks whole up to ``most_entries`` entries. Beyond, the tasks are sent what has a share of
+``share`` (pairs: ``pair_share``) of its kind, at most 1 / share entries, and every text is joined with what it asks
+of the rest: its other words, the other known words that one or two confusions turn into its words, its hyphened
+words, its edge lines, and then the pairs of its words' readings. The results are the same.
 
 Defined results: null and blank texts give no rows. Lines are what lies between line feeds and form feeds,
 each such character ending a line, numbered from 0 over the whole text. Repeated rows are repaired each.
@@ -30,7 +31,7 @@ import math
 import os
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -129,23 +130,38 @@ def furniture(text_pages: list[list[tuple[int, str]]], known: set[str]) -> set[i
 UNKNOWN = 1e-10  # probability of a certain word that is not known: a new name, a number
 GENUINE = 0.01  # how likely a word that looks like a misread frequent one is one nevertheless
 PAIR_CLIP = 4.0
+MOST_MISREAD = 0.05  # at most this share of what was printed is misread one way
 
 
 class Model:
     """What the collection says about words, pairs, hyphens and boundary lines.
 
-    deep: the words that may be two confusions away (None: all). more: what one text has from the join, if any.
+    more: what one text has from the join, if any. wanted: takes the pairs that are looked for in vain, if it is a set.
     """
 
-    def __init__(self, words: dict[str, int], pairs: dict[str, int], compounds: dict[str, int], boundary: set[str], total: int, channel: dict[tuple[str, str], float], deep: int = 0):
-        self.words, self.pairs, self.compounds, self.boundary, self.total, self.channel, self.deep = words, pairs, compounds, boundary, max(total, 1), channel, deep
+    def __init__(self, words: dict[str, int], pairs: dict[str, int], compounds: dict[str, int], boundary: set[str], total: int, channel: dict[tuple[str, str], float]):
+        self.words, self.pairs, self.compounds, self.boundary, self.total, self.channel = words, pairs, compounds, boundary, max(total, 1), channel
         self.kept: dict[str, list[tuple[str, float, int]]] = {}
         self.clean: set[str] = set()
         self.ordered = sorted(words)
         self.by_read: dict[str, list[tuple[str, float]]] = {}
         for (read, printed), p in channel.items():
             self.by_read.setdefault(read, []).append((printed, math.log(p)))
-        self.more: dict[str, dict[str, object]] = {"word": {}, "form": {}, "compound": {}, "line": {}}
+        self.wanted: set[str] | None = None
+        self.more: dict[str, dict[str, object]] = {}
+        self.told((), ())
+
+    def told(self, hits: Iterable[dict], pairs: Iterable[dict]) -> None:
+        """Takes what one text has from the join."""
+        self.more = {k: {} for k in ("word", "pair", "compound", "line", "form", "deep")}
+        for x in hits:
+            if x["word"] is None:
+                self.more[x["kind"]][x["key"]] = x["n"]
+                continue
+            self.more["word"].setdefault(x["word"], x["n"])
+            self.more["form" if x["read2"] is None else "deep"].setdefault(x["key"], []).append(x)
+        for x in pairs:
+            self.more["pair"][x["key"]] = x["n"]
 
     def count(self, word: str) -> int:
         return self.words.get(word) or self.more["word"].get(word, 0)
@@ -157,31 +173,34 @@ class Model:
 
     def candidates(self, word: str) -> list[tuple[str, float, int]]:
         """(word, log score, where the first misread character is) of a lower-case word, itself first with -1."""
-        forms = self.more["form"].get(word, ())
-        special = forms or word in self.more["word"]
+        forms, deep = self.more["form"].get(word, ()), self.more["deep"].get(word, ())
+        special = forms or deep or word in self.more["word"]
         if not special and (kept := self.kept.get(word)) is not None:
             return kept
         # a word the collection does not know: a name, a number or a misreading
         c = self.count(word)
         own = math.log(GENUINE * c / self.total if c else UNKNOWN)
         found: dict[str, tuple[float, int]] = {}
-        for v, n, read, printed, at in forms:  # known words of the join that this one is a misread form of
-            s = math.log(self.channel[(read, printed)] * n / self.total)
+
+        def add(v: str, s: float, at: int) -> None:
             if v not in found or found[v][0] < s:
                 found[v] = (s, at)
+
+        for x in forms:  # known words of the join that this one is a misread form of
+            add(x["word"], math.log(self.channel[(x["read"], x["printed"])]) + math.log(x["n"] / self.total), x["at"])
         frontier = [(word, 0.0, 0, len(word))]
         for depth in range(2 if len(word) > 5 else 1):
             fresh = []
+            for x in deep if depth else ():
+                add(x["word"], math.log(self.channel[(x["read"], x["printed"])]) + math.log(self.channel[(x["read2"], x["printed2"])]) + math.log(x["n"] / self.total), x["at"])
             for w, cost, start, first in frontier:
                 # behind its reach no change, nor one further right, makes a known word
                 for i in range(start, min(len(w), self.reach(w) + 1)):
                     for n in (1, 2):
                         for printed, p in self.by_read.get(w[i : i + n], ()) if len(w[i : i + n]) == n else ():
                             v, score, at = w[:i] + printed + w[i + n :], cost + p, min(first, i)
-                            if (k := self.words.get(v)) and v != word and (depth == 0 or k >= self.deep):
-                                s = score + math.log(k / self.total)
-                                if v not in found or found[v][0] < s:
-                                    found[v] = (s, at)
+                            if (k := self.words.get(v)) and v != word:
+                                add(v, score + math.log(k / self.total), at)
                             fresh.append((v, score, i + len(printed), at))
             if found:
                 break
@@ -209,13 +228,21 @@ class Model:
                 self.candidates(w)
         return self.clean.issuperset(words)
 
-    def link(self, a: str, b: str) -> float:
-        """How much likelier b is behind a than anywhere, if that is known."""
-        n = self.pairs.get(f"{a} {b}", 0)
-        x, y = self.count(a), self.count(b)
-        if not n or not x or not y:
-            return 0.0
-        return max(0.0, min(PAIR_CLIP, math.log(n * self.total / (x * y))))
+    def pair_count(self, a: str, b: str) -> int:
+        """How often b stands behind a, if that and both words are known."""
+        pair = f"{a} {b}"
+        n = self.pairs.get(pair) or self.more["pair"].get(pair, 0)
+        if n or self.wanted is not None:
+            if not self.count(a) or not self.count(b):
+                return 0
+            if not n:
+                self.wanted.add(pair)
+        return n
+
+    def links(self, before: list[tuple[str, float, int]], v: str, counts: list[int], most: int) -> list[float]:
+        """How much likelier v is behind each word than anywhere; a pair that may be a misread form of another says nothing."""
+        own = self.count(v)
+        return [max(0.0, min(PAIR_CLIP, math.log(n * self.total / (self.count(u[0]) * own)))) if n > MOST_MISREAD * most else 0.0 for u, n in zip(before, counts, strict=True)]
 
     def decode(self, words: list[str]) -> list[tuple[str, float, int]]:
         """The likeliest candidates of a line's words, by Viterbi."""
@@ -224,9 +251,15 @@ class Model:
             return [x[0] for x in lattice]
         score, back = [x[1] for x in lattice[0]], []
         for t in range(1, len(lattice)):
+            if len(lattice[t - 1]) == len(lattice[t]) == 1:  # the same for every way
+                score = [score[0] + lattice[t][0][1]]
+                back.append([0])
+                continue
             step, came = [], []
-            for v, s, _ in lattice[t]:
-                over = [score[i] + self.link(u[0], v) for i, u in enumerate(lattice[t - 1])]
+            counts = [[self.pair_count(u[0], v[0]) for u in lattice[t - 1]] for v in lattice[t]]
+            most = max(map(max, counts))
+            for (v, s, _), own in zip(lattice[t], counts, strict=True):
+                over = [x + link for x, link in zip(score, self.links(lattice[t - 1], v, own, most), strict=True)]
                 i = max(range(len(over)), key=over.__getitem__)
                 step.append(over[i] + s)
                 came.append(i)
@@ -371,6 +404,7 @@ class Learned:
 
     model: Model
     rest: DataFrame | None = None  # kind, key, n
+    words: DataFrame | None = None  # key, n of the words that the model has
 
 
 def learn_model(rows: DataFrame, share: float = 5e-6, pair_share: float = 2e-5, least: int = 5, line_least: int = 5, most_entries: int = 300_000) -> Learned:
@@ -387,13 +421,13 @@ def learn_model(rows: DataFrame, share: float = 5e-6, pair_share: float = 2e-5,
     counts = stored(one.mapInPandas(count, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     totals = {r["kind"]: r["n"] for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     words = totals.get("word", 0)
-    floor = F.when(F.col("kind") == "pair", max(least, pair_share * words)).when(F.col("kind") == "line", line_least).otherwise(least)
+    floor = F.when(F.col("kind") == "line", line_least).otherwise(least)
     known = counts.where(F.col("n") >= floor)
     if known.count() <= most_entries:
         sent, rest = known, None
     else:
-        frequent = F.col("n") >= F.when(F.col("kind") == "line", max(line_least, share * totals.get("line", 0))).otherwise(max(least, share * words))
-        sent, rest = known.where((F.col("kind") == "pair") | frequent), known.where((F.col("kind") != "pair") & ~frequent)
+        frequent = F.col("n") >= F.when(F.col("kind") == "line", share * totals.get("line", 0)).when(F.col("kind") == "pair", pair_share * words).otherwise(share * words)
+        sent, rest = known.where(frequent), known.where(~frequent)
     lists: dict[str, dict[str, int]] = {k: {} for k in ("word", "pair", "compound", "line")}
     for r in sent.collect():
         lists[r["kind"]][r["key"]] = r["n"]
@@ -404,9 +438,9 @@ def learn_model(rows: DataFrame, share: float = 5e-6, pair_share: float = 2e-5,
     for r in hits.join(of_kind.where(~often), "key").groupBy("read", "printed").agg(F.sum(F.col("n") * F.col("times")).alias("n")).collect():
         seen[(r["read"], r["printed"])] += r["n"]
     whole = sum(seen.values())
-    rate = min(0.05, max(0.002, whole / max(words, 1)))
+    rate = min(MOST_MISREAD, max(0.002, whole / max(words, 1)))
     channel = {c: max(1e-6, rate * n / whole) for c, n in seen.items()}
-    return Learned(Model(lists["word"], lists["pair"], lists["compound"], set(lists["line"]), words, channel, math.ceil(share * words)), rest)
+    return Learned(Model(lists["word"], lists["pair"], lists["compound"], set(lists["line"]), words, channel), rest, sent.where(F.col("kind") == "word").select("key", "n"))
 
 
 def misread_forms(words: DataFrame, shortest: int = 1) -> DataFrame:
@@ -420,10 +454,32 @@ def misread_forms(words: DataFrame, shortest: int = 1) -> DataFrame:
     return words.select("key", "n").mapInPandas(run, "key string, word string, n long, read string, printed string, at int, times int")
 
 
+def repaired_forms(words: DataFrame) -> DataFrame:
+    """key, half, first, to, read, printed: every way to take one confusion in a word of 6 letters or more (column key) back, and where a next may begin."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(w, w[:i] + printed + w[i + len(read) :], i, i + len(printed), read, printed) for w in pdf["key"] if len(w) > 5 for read, printed in CONFUSIONS for i in range(len(w)) if w.startswith(read, i)]
+            yield pd.DataFrame(out, columns=["key", "half", "first", "to", "read", "printed"])
+
+    return words.select("key").mapInPandas(run, "key string, half string, first int, to int, read string, printed string")
+
+
+def deep_forms(words: DataFrame, forms: DataFrame) -> DataFrame:
+    """key, word, n, read, printed, read2, printed2, at: words (column key) that are two confusions away from the words of forms."""
+    second = forms.select(F.col("key").alias("half"), "word", "n", F.col("read").alias("read2"), F.col("printed").alias("printed2"), F.col("at").alias("next"))
+    met = repaired_forms(words).join(second, "half").where((F.col("next") >= F.col("to")) & (F.col("word") != F.col("key")))
+    return met.select("key", "word", "n", "read", "printed", "read2", "printed2", F.col("first").alias("at"))
+
+
 def asked_of_rest(rows: DataFrame, learned: Learned) -> DataFrame:
-    """id and more: what every text needs of the counts that were not sent, joined by key. Texts that need nothing have no row."""
+    """row and more: what every text needs of the counts that were not sent, but for pairs, joined by key. Texts that need nothing have no row."""
     model = learned.model
-    shared = rows.sparkSession.sparkContext.broadcast((set(model.words), set(model.compounds), model.boundary))
+    forms = stored(misread_forms(learned.rest.where(F.col("kind") == "word")).drop("times"))
+    # words that were sent and look like misread ones of the rest are asked for as well
+    hit = forms.join(learned.words.select("key"), "key").select("key").union(deep_forms(learned.words, forms).select("key")).distinct()
+    hit = {r["key"] for r in hit.collect()}
+    shared = rows.sparkSession.sparkContext.broadcast((set(model.words) - hit, set(model.compounds), model.boundary))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, compounds, lines = shared.value
@@ -438,32 +494,52 @@ def asked_of_rest(rows: DataFrame, learned: Learned) -> DataFrame:
                 out += [(i, "line", s) for s in {*edge_shapes(t)} - lines]
             yield pd.DataFrame(out, columns=["row", "kind", "key"])
 
-    asked = rows.mapInPandas(ask, "row long, kind string, key string")
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("word", "string"), ("read", "string"), ("printed", "string"), ("at", "int"))]
-    told = learned.rest.select("kind", "key", "n", *none)
-    forms = misread_forms(learned.rest.where(F.col("kind") == "word")).select(F.lit("word").alias("kind"), "key", "n", "word", "read", "printed", "at")
-    hits = asked.join(told.unionByName(forms), ["kind", "key"])
-    return hits.groupBy("row").agg(F.collect_list(F.struct("kind", "key", "n", "word", "read", "printed", "at")).alias("more"))  # of one text
+    asked = stored(rows.mapInPandas(ask, "row long, kind string, key string"))
+    columns = {"word": "string", "read": "string", "printed": "string", "read2": "string", "printed2": "string", "at": "int"}
+    none = lambda *names: [F.lit(None).cast(columns[c]).alias(c) for c in names]
+    told = learned.rest.where(F.col("kind") != "pair").select("kind", "key", "n", *none(*columns))
+    once = forms.select(F.lit("word").alias("kind"), "key", "n", "word", "read", "printed", *none("read2", "printed2"), "at")
+    twice = deep_forms(asked.where(F.col("kind") == "word").select("key").distinct(), forms).select(F.lit("word").alias("kind"), "key", "n", *columns)
+    hits = asked.join(told.unionByName(once).unionByName(twice), ["kind", "key"])
+    return hits.groupBy("row").agg(F.collect_list(F.struct("kind", "key", "n", *columns)).alias("more"))  # of one text
+
+
+def pairs_of_rest(texts: DataFrame, learned: Learned, sent: Callable[[], Model]) -> DataFrame:
+    """row and linked: the pairs among the readings of a text's words (columns row, text, more) that were not sent."""
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = sent()
+        for pdf in batches:
+            out = []
+            for i, t, more in zip(pdf["row"], pdf["text"], pdf["more"], strict=True):
+                own.told(() if more is None else more, ())
+                own.wanted = set()
+                own.analyse(t)
+                out += [(i, x) for x in own.wanted]
+            yield pd.DataFrame(out, columns=["row", "key"])
+
+    rest = learned.rest.where(F.col("kind") == "pair").select("key", "n")
+    return texts.mapInPandas(ask, "row long, key string").join(rest, "key").groupBy("row").agg(F.collect_list(F.struct("key", "n")).alias("linked"))
 
 
 def repair(rows: DataFrame, learned: Learned) -> DataFrame:
     """id, marks (line_no, kind) and repaired text of every row (columns id, row, text)."""
     kind, model = dict(rows.dtypes)["id"], learned.model
-    sent = (model.words, model.pairs, model.compounds, model.boundary, model.total, model.channel, model.deep)
-    shared = rows.sparkSession.sparkContext.broadcast(sent)
-    texts = rows.select("id", "text", F.lit(None).cast("array<struct<kind string>>").alias("more")) if learned.rest is None else rows.join(asked_of_rest(rows, learned), "row", "left").select("id", "text", "more")
+    shared = rows.sparkSession.sparkContext.broadcast((model.words, model.pairs, model.compounds, model.boundary, model.total, model.channel))
+    sent = lambda: Model(*shared.value)
+    if learned.rest is None:
+        texts = rows.select("id", "text", *(F.lit(None).cast("array<struct<kind string>>").alias(c) for c in ("more", "linked")))
+    else:
+        more = stored(asked_of_rest(rows, learned))
+        texts = rows.join(more, "row", "left")
+        texts = texts.join(pairs_of_rest(texts, learned, sent), "row", "left").select("id", "text", "more", "linked")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Model(*shared.value)
+        own = sent()
         for pdf in batches:
             out = []
-            for i, t, more in zip(pdf["id"], pdf["text"], pdf["more"], strict=True):
-                own.more = {"word": {}, "form": {}, "compound": {}, "line": {}}
-                for x in more if more is not None else ():
-                    if x["word"] is None:
-                        own.more[x["kind"]][x["key"]] = x["n"]
-                    else:
-                        own.more["form"].setdefault(x["key"], []).append((x["word"], x["n"], x["read"], x["printed"], x["at"]))
+            for i, t, more, linked in zip(pdf["id"], pdf["text"], pdf["more"], pdf["linked"], strict=True):
+                own.told(() if more is None else more, () if linked is None else linked)
                 marks, fixed = own.analyse(t)
                 out.append((i, [{"line_no": n, "kind": k} for n, k in marks], fixed))
             yield pd.DataFrame(out, columns=["id", "marks", "repaired"])

@@ -446,3 +446,29 @@ def test_sketches_in_rounds_are_the_same():
     values, starts, weights = np.arange(200, dtype=np.int32) * 7919 % 301, np.array([0, 50, 120]), np.ones(neardup.BINS, np.float32)
     whole = neardup.sketches(values, starts, weights, 8, 4, 1)
     assert (np.hstack([neardup.sketches(values, starts, weights, 3, 4, 1), neardup.sketches(values, starts, weights, 5, 4, 1, 3)]) == whole).all()
+
+
+def test_rarer_pairs_and_words_two_confusions_away_count(spark):
+    rng = random.Random(4)
+    filler = ["".join(rng.choice("gkpwxyz") for _ in range(6)) for _ in range(300)]
+    texts = [" ".join(rng.choices(filler, k=300)) + f" grey matter\nblue motter domain\n{i}" for i in range(8)]  # 8 times in about 2,450 words, a share under 0.02
+    df = spark.createDataFrame(list(enumerate([*texts, "white matter clomoin"])), "id long, text string")
+    learned = scannoise.learn_model(scannoise.numbered(df), share=0.02, pair_share=0.02)
+    assert learned.model.pairs["grey matter"] == learned.model.pairs["blue motter"] == 8
+    assert "domain" in [v for v, _, _ in learned.model.candidates("clomoin")]  # cl for d and o for a
+    how = {"share": 0.02, "pair_share": 0.02, "most_entries": 0}
+    assert (8, 0, "misread") in marks_of(df) and marks_of(df) == marks_of(df, **how)
+
+
+def test_joined_pairs_and_forms_equal_the_sent_ones(spark):
+    df = spark.createDataFrame(noisy_corpus(60), "id long, text string")
+    for share in (1e-3, 5e-3, 0.03):
+        assert marks_of(df, share=share) == marks_of(df, share=share, pair_share=share, most_entries=0)
+
+
+def test_a_misread_pair_proves_nothing():
+    channel = dict.fromkeys(scannoise.CONFUSIONS, 1e-4)
+    words = {"remains": 900, "unclear": 500, "undear": 6}
+    first = lambda pairs: scannoise.Model(words, pairs, {}, set(), 100_000, channel).decode(["remains", "undear"])[1][0]
+    assert first({"remains unclear": 400, "remains undear": 6}) == "unclear"
+    assert first({"remains unclear": 40, "remains undear": 6}) == "undear"
