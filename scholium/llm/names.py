@@ -29,7 +29,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -152,13 +152,8 @@ def evidence(raw: str) -> list[tuple[str, int, int]]:
 class Reader:
     """Parses names, knowing the given names of the collection and what nicknames stand for."""
 
-    def __init__(self, given: set[str], nicknames: dict[str, str]):
-        self.nicknames = nicknames
-        self.given = {g for g in given if not g.endswith(".") and g not in nicknames}
-        self.heads: dict[str, str] = {}
-        for g in self.given:
-            if " " in g:
-                self.heads.setdefault(g.split()[0], g)
+    def __init__(self, given: set[str], heads: set[str], nicknames: dict[str, str]):
+        self.given, self.heads, self.nicknames = given, heads, nicknames
 
     def name(self, w: str) -> tuple[str, str]:
         """(how, value): a full given name, or a short form to be matched later."""
@@ -261,48 +256,90 @@ def metric_neighbours(keys: DataFrame, radius: int = 1) -> DataFrame:
     return found.mapInPandas(exact, "grp string, a string, b string")
 
 
-def _parse(rows: DataFrame, given: set[str], nicknames: dict[str, str], *keys: str) -> DataFrame:
-    """The key columns and the parts of the name of every row (column name) that has any."""
-    kinds = dict(rows.dtypes)
+def lexicon(words: DataFrame, nicknames: DataFrame) -> DataFrame:
+    """word, given, head, formal: known given names (words: word), first parts of compound ones, and nicknames (word, formal)."""
+    given = words.where(~F.endswith("word", F.lit("."))).join(nicknames, "word", "left_anti").select("word")
+    none = F.lit(None).cast("string").alias("formal")
+    heads = given.where(F.contains("word", F.lit(" "))).select(F.split_part("word", F.lit(" "), F.lit(1)).alias("word"))
+    parts = given.select("word", F.lit(True).alias("given"), F.lit(False).alias("head"), none)
+    parts = parts.union(heads.select("word", F.lit(False), F.lit(True), none)).union(nicknames.select("word", F.lit(False), F.lit(False), "formal"))
+    return parts.groupBy("word").agg(F.max("given").alias("given"), F.max("head").alias("head"), F.max("formal").alias("formal"))
+
+
+def _reader(entries: Iterable[dict]) -> Reader:
+    given, heads, nicknames = set(), set(), {}
+    for e in entries:
+        if e["given"]:
+            given.add(e["word"])
+        if e["head"]:
+            heads.add(e["word"])
+        if e["formal"] is not None:
+            nicknames[e["word"]] = e["formal"]
+    return Reader(given, heads, nicknames)
+
+
+def _parse(rows: DataFrame, known: DataFrame, most_sent: int, *keys: str) -> DataFrame:
+    """The key columns and the parts of the name of every row (column name) that has any.
+
+    known: the lexicon. Up to ``most_sent`` entries go to the tasks whole; of a larger one every name is joined with the
+    entries of its own words, which are all that its reading asks for.
+    """
+    kinds, few = dict(rows.dtypes), None
+    if known.count() <= most_sent:
+        few = [r.asDict() for r in known.collect()]
+        texts = rows.select(*keys, "name", F.lit(None).cast("array<struct<word string>>").alias("entries"))
+    else:
+
+        def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                out = []
+                for n in pdf["name"]:
+                    _, _, words, after = _split(n)
+                    out += [(n, w) for w in {w.rstrip(".") for w in (*words, *(after or ()))}]
+                yield pd.DataFrame(out, columns=["name", "word"])
+
+        asked = rows.select("name").distinct().mapInPandas(ask, "name string, word string")
+        told = asked.join(known, "word").groupBy("name").agg(F.collect_list(F.struct("word", "given", "head", "formal")).alias("entries"))  # of one name
+        texts = rows.join(told, "name", "left").select(*keys, "name", "entries")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(given, nicknames)
+        whole = None if few is None else _reader(few)
         for pdf in batches:
-            got = [reader.read(n) for n in pdf["name"]]
+            got = [(whole or _reader(() if own is None else own)).read(n) for n, own in zip(pdf["name"], pdf["entries"], strict=True)]
             kept = pdf.loc[[g is not None for g in got], list(keys)].reset_index(drop=True)
             yield pd.concat([kept, pd.DataFrame([g for g in got if g], columns=PARTS, dtype="object")], axis=1)
 
-    return rows.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), *(f"{c} string" for c in PARTS)]))
+    return texts.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), *(f"{c} string" for c in PARTS)]))
 
 
 PARTS = ["kind", "particle", "family", "how", "given", "middle", "more"]
 
 
-def learn_nicknames(lists: DataFrame, given: set[str], prior: dict[str, str], most: int = 200_000) -> dict[str, str]:
+def learn_nicknames(lists: DataFrame, words: DataFrame, prior: dict[str, str], most_sent: int = 200_000) -> dict[str, str]:
     """prior and the nicknames the collection shows: word -> the given names it stands for.
 
-    lists: grp, names; lists of one group are repeated listings of the same people. Two given names that stand before
-    one family name, at one place of lists of one group and length, are one person's; the longer is the formal one and
-    must be a known given name. Pairs that one or two edits explain are misspellings. Compounds are no nicknames.
-    Within a place the others are paired with the commonest, so a place costs as many pairs as it has spellings. If
-    there are more than ``most`` pairs, those seen with fewer families are left out, to bound what is sent.
+    lists: grp, names; lists of one group are repeated listings of the same people. words: word, the known given names.
+    Two given names that stand before one family name, at one place of lists of one group and length, are one person's;
+    the longer is the formal one and must be a known given name. Pairs that one or two edits explain are misspellings.
+    Compounds are no nicknames. Within a place the others are paired with the commonest, so a place costs as many pairs
+    as it has spellings. The pairs stream past the driver in order, all of them; it keeps what is learned.
     """
     rows = lists.where(F.col("grp").isNotNull()).select("grp", F.size("names").alias("size"), F.posexplode("names").alias("pos", "name")).where(F.col("name").isNotNull()).distinct()
-    parsed = _parse(spread(rows), given, {}, "grp", "size", "pos").where((F.col("kind") == "person") & (F.col("how") == "full"))
+    none = words.sparkSession.createDataFrame([], "word string, formal string")
+    parsed = _parse(spread(rows), cut(lexicon(words, none)), most_sent, "grp", "size", "pos").where((F.col("kind") == "person") & (F.col("how") == "full"))
     seen = parsed.groupBy("grp", "size", "pos", "family", "given").agg(F.count(F.lit(1)).alias("n"))
     place = ["grp", "size", "pos", "family"]
     spelled = seen.groupBy(*place).agg(F.max_by("given", F.struct("n", "given")).alias("top"), F.collect_set("given").alias("all"))  # the spellings of one person
     pairs = spelled.select("family", "top", F.explode("all").alias("given")).where(F.col("given") != F.col("top")).select("family", F.least("given", "top").alias("a"), F.greatest("given", "top").alias("b"))
-    ranked = cut(pairs.where(~F.contains("a", F.lit(" ")) & ~F.contains("b", F.lit(" "))).groupBy("a", "b").agg(F.countDistinct("family").alias("families")))
-    floor = 1
-    while ranked.where(F.col("families") >= floor).count() > most:
-        floor *= 2
+    ranked = pairs.where(~F.contains("a", F.lit(" ")) & ~F.contains("b", F.lit(" "))).groupBy("a", "b").agg(F.countDistinct("family").alias("families"))
+    a_first = (F.length("a") < F.length("b")) | ((F.length("a") == F.length("b")) & (F.col("a") < F.col("b")))
+    ranked = ranked.select("a", "b", "families", F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("short"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("whole"))
+    ranked = cut(ranked.join(words.select(F.col("word").alias("whole")), "whole", "left_semi").orderBy(F.desc("families"), "a", "b").select("short", "whole"))
     out = {k: set(v.split()) for k, v in prior.items()}
     formal = lambda w: set.union(*(out.get(x, {x}) for x in out.get(w, {w})))
-    for r in sorted(ranked.where(F.col("families") >= floor).collect(), key=lambda r: (-r["families"], r["a"], r["b"])):
-        short, whole = sorted((r["a"], r["b"]), key=lambda w: (len(w), w))
+    for short, whole in ranked.toLocalIterator():
         misspelt = len(short) > 4 and damerau(short, whole, 2) <= 2
-        if whole in given and not misspelt and not formal(short) & formal(whole):
+        if not misspelt and not formal(short) & formal(whole):
             out.setdefault(short, set()).update(formal(whole))
     return {k: " ".join(sorted(v)) for k, v in out.items()}
 
@@ -310,9 +347,9 @@ def learn_nicknames(lists: DataFrame, given: set[str], prior: dict[str, str], mo
 def link_names(df: DataFrame, key: str, name: str, lists: DataFrame | None = None, nicknames: dict[str, str] | None = None, least: int = 3, most_given: int = 200_000, radius: int = 1, shortest: int = 4) -> DataFrame:
     """id and entity: rows of equal entity are spellings of the same person or organisation.
 
-    Given names are words that stand in given places at least ``least`` times and oftener than as family names; only if
-    more than ``most_given`` do, they need a share of the names of 1 / most_given, so the list sent to the tasks is
-    bounded. lists (grp, names) teach nicknames; nicknames replaces the list of common ones.
+    Given names are words that stand in given places at least ``least`` times and oftener than as family names. Up to
+    ``most_given`` of them and the nicknames are sent to the tasks; more are joined, with the same results. lists
+    (grp, names) teach nicknames; nicknames replaces the list of common ones.
     """
     rows = spread(df.select(F.col(key).alias("id"), F.col(name).alias("name")).where(F.col("id").isNotNull() & F.col("name").isNotNull()))
 
@@ -328,16 +365,14 @@ def link_names(df: DataFrame, key: str, name: str, lists: DataFrame | None = Non
 
     words = rows.select("name").mapInPandas(count, "word string, g long, f long").groupBy("word").agg(F.sum("g").alias("g"), F.sum("f").alias("f"))
     words = cut(words.where((F.col("g") >= least) & (F.col("g") > F.col("f"))).select("word", "g"))
-    if words.count() > most_given:
-        words = words.where(F.col("g") > rows.count() / most_given)
-    given = {r["word"] for r in words.select("word").collect()}
     short_forms = NICKNAMES if nicknames is None else nicknames
     if lists is not None:
-        short_forms = learn_nicknames(lists, given, short_forms)
-    parsed = cut(_parse(rows, given, short_forms, "id"))
+        short_forms = learn_nicknames(lists, words, short_forms, most_given)
+    formal = words.sparkSession.createDataFrame(pd.DataFrame(sorted(short_forms.items()), columns=["word", "formal"]), "word string, formal string")
+    parsed = cut(_parse(rows, cut(lexicon(words, formal)), most_given, "id"))
 
     # a misspelt given name is the one known given name next to it
-    known = words.where(~F.col("word").endswith(".") & ~F.col("word").isin(*sorted(short_forms))).select("word")
+    known = cut(words.where(~F.col("word").endswith(".")).join(formal, "word", "left_anti").select("word"))
     used = parsed.where((F.col("how") == "full") & (F.length("given") > 3)).select(F.col("given").alias("word")).distinct()
     close = metric_neighbours(known.union(used).distinct().select(F.lit("given").alias("grp"), F.col("word").alias("key")), radius)
     ends = close.select(F.col("a").alias("odd"), F.col("b").alias("word")).unionByName(close.select(F.col("b").alias("odd"), F.col("a").alias("word")))
